@@ -11,11 +11,13 @@ first tokens), its offset and ``DAC1`` again. Numbers are little-endian.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from typing import BinaryIO
 
 import numpy as np
@@ -30,9 +32,9 @@ from .common import settle
 MAGIC = b"DAC1"
 SEGMENT, RANK_BITS = 1 << 20, 512
 #: Entries of a worker's cache of encoded words; it starts anew when full, so a worker's memory is bounded.
-CACHE = 400_000
-#: Characters of text encoded at a time.
-CHUNK = 1 << 20
+CACHE = 500_000
+#: New words encoded at a time.
+CHUNK = 20_000
 
 # --- codes -------------------------------------------------------------------------------------------------
 
@@ -165,96 +167,132 @@ class Reader:
 # --- encoding ----------------------------------------------------------------------------------------------
 
 _ODD_SPACE = re.compile(r"[^\S \n\r\t]")
-_TWO_SPACES = re.compile(r"\s\s|[\r\t]")
+_RUN_SIGNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
 _RUNS = re.compile(r"(\s+)")
 _TAIL = ".,!?|$%&*#;:"
+#: Byte-level BPE writes each byte as a character: printable ones as they are, the others from 256 on, in order.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: chr(b) if b in _PRINTABLE else chr(256 + sum(x not in _PRINTABLE for x in range(b))) for b in range(256)}
+
+
+def _odd(text: str) -> bool:
+    """White space other than space, tab and line breaks."""
+    return any(c in text for c in "\x0b\x0c\x1c\x1d\x1e\x1f") if text.isascii() else _ODD_SPACE.search(text) is not None
 
 
 class Encoder:
     """Byte-level BPE of whole texts, word by word, each different word encoded by the library once.
 
-    The pre-tokenizer never joins what a single space or line break parts, so the ids of a text are those of
-    its words, each with the space before it. Texts with other white space than space, tab and line breaks, or
-    with an added token in them, go to the library whole.
+    The pre-tokenizer never joins what a single space or line break parts: a space leads the word after it, a
+    line break stands alone. So the ids of a text are those of its words, each with what stands before it.
+    Texts with runs of white space are cut at the runs, as the pre-tokenizer cuts them. Those with other white
+    space than space, tab and line breaks, or with an added token in them, go to the library whole.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        settings = json.loads(self.tokenizer.to_str())
+        before = settings["pre_tokenizer"] or {}
+        #: Whether texts may be cut into words; other tokenizers get every text whole.
+        self.by_word = not settings["normalizer"] and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
+        self.model = self.tokenizer.model
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        #: Ids of words after a space or, with a line break before them, after that; the same without the
+        #: punctuation behind; and of pieces as they are.
+        self.words: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.codes = [struct.pack("<I", k) for k in range(self.tokenizer.get_vocab_size())]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _pieces(self, text: str) -> list[str]:
-        if not _TWO_SPACES.search(text):
-            pieces: list[str] = []
-            for k, line in enumerate(text.split("\n")):
-                if k:
-                    pieces.append("\n")
-                first, *rest = line.split(" ")
-                if first:
-                    pieces.append(first)
-                pieces += [" " + w for w in rest]
-            return pieces
-        pieces, parts = [], _RUNS.split(text)
-        space = ""
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) > CACHE:
+                self.pieces = {}
+            ids = self.pieces[piece] = self._library([piece])[0] if piece else b""
+        return ids
+
+    def _core(self, core: str) -> bytes:
+        space, lead = " ", b""
+        if core[:1] == "\n":
+            space, lead, core = "", self._piece("\n"), core[1:]
+        if not core.isalpha():
+            return lead + self._piece(space + core)
+        # letters, and a space before them, are one pre-token, which goes to the library's model at once
+        body = core if core.isascii() else core.encode().decode("latin-1").translate(_BYTES)
+        codes = self.codes
+        return lead + b"".join([codes[t.id] for t in self.model.tokenize(f"\u0120{body}" if space else body)])
+
+    def _learn(self, words: set[str]) -> None:
+        """Words with punctuation behind letters are two parts, which other words share."""
+        cores, known = self.cores, self.words
+        if len(cores) > CACHE:
+            cores.clear()
+        for w in words:
+            core = w.rstrip(_TAIL)
+            if not core or not core[-1].isalpha() or core == w:
+                core, tail = w, b""
+            else:
+                tail = self._piece(w[len(core) :])
+            ids = cores.get(core)
+            if ids is None:
+                ids = cores[core] = self._core(core)
+            known[w] = ids + tail
+
+    def _runs(self, text: str) -> bytes:
+        """A text with runs of white space: all but a run's last character stand together before a word."""
+        pieces, parts, space = [], _RUNS.split(text), ""
         for k, part in enumerate(parts):
             if k % 2 == 0:
-                if space + part:
-                    pieces.append(space + part)
+                pieces.append(space + part)
                 space = ""
             elif k == len(parts) - 2 and not parts[-1]:  # at the end the run stays whole
                 pieces.append(part)
-            else:  # before a word its last character stands alone, or leads the word if it is a space
-                if part[:-1]:
-                    pieces.append(part[:-1])
+            else:
+                pieces.append(part[:-1])
                 if part[-1] == " ":
                     space = " "
                 else:
                     pieces.append(part[-1])
-        return pieces
-
-    def _learn(self, missing: Iterable[str]) -> None:
-        """Encodes what is new; a word of letters with punctuation behind it as the two tokens' parts it is."""
-        known, plain, split = self.known, [], []
-        for w in missing:
-            core = w.rstrip(_TAIL)
-            if core != w and core.lstrip(" ").isalpha():
-                split.append((w, core, w[len(core) :]))
-            else:
-                plain.append(w)
-        plain += {x for _, core, tail in split for x in (core, tail)} - known.keys() - set(plain)
-        known.update(zip(plain, self._library(plain), strict=True))
-        for w, core, tail in split:
-            known[w] = known[core] + known[tail]
+        return b"".join(map(self._piece, pieces))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32."""
-        out: list[bytes] = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if _ODD_SPACE.search(t) or any(a in t for a in self.added)]
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        aside = set(whole)
-        some: list[tuple[int, list[str]]] = []
-        size = 0
+        out: list[bytes | None] = [None] * len(texts)
+        whole = []
+        again: list[tuple[int, list[str]]] = []
+        new: set[str] = set()
+        get = self.words.get
         for i, text in enumerate(texts):
-            if i not in aside:
-                some.append((i, self._pieces(text)))
-                size += len(text)
-            if size >= CHUNK or i == len(texts) - 1:
-                new = set().union(*(p for _, p in some)) - self.known.keys()
-                if len(self.known) + len(new) > CACHE:
-                    self.known = {}
-                    new = set().union(*(p for _, p in some))
+            if not self.by_word or _odd(text) or any(a in text for a in self.added):
+                whole.append(i)
+            elif any(pair in text for pair in _RUN_SIGNS):
+                out[i] = self._runs(text)
+            elif text:
+                words = ("\n" + text).replace("\n", " \n")[1:].split(" ")
+                found = [*map(get, words)]
+                if None in found:
+                    new.update(w for w, v in zip(words, found, strict=True) if v is None)
+                    again.append((i, words))
+                else:
+                    out[i] = b"".join(found)[4:]  # without the line break that was put before the first word
+            if len(new) >= CHUNK or i == len(texts) - 1:
                 self._learn(new)
-                for j, pieces in some:
-                    out[j] = b"".join(map(self.known.__getitem__, pieces))
-                some, size = [], 0
-        return out
+                for j, words in again:
+                    out[j] = b"".join(map(self.words.__getitem__, words))[4:]
+                again, new = [], set()
+                if len(self.words) > CACHE:
+                    self.words.clear()
+        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        return [x or b"" for x in out]
 
 
 _encoders: dict[str, Encoder] = {}

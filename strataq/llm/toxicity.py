@@ -19,23 +19,27 @@ from .common import settle
 from .quality import in_fold, sample_of, sigmoid
 
 DIM, FACTORS = 1 << 18, 4
-SAMPLE, EPOCHS = 12_000, 5
+SAMPLE, EPOCHS = 16_000, 5
 THRESHOLD = 0.5
 #: A term gets its vector once this many learned texts held it and its weight is not zero.
 LEAST_TEXTS = 3
-CACHE, STEP = 300_000, 1 << 17
+CACHE = 200_000
+#: Lengths of the beginnings of words that are terms as well.
+STEMS = (4, 5, 6)
 
 _PUNCT = bytes(set(range(33, 127)) - set(range(48, 58)) - set(range(65, 91)) - set(range(97, 123)))
 
 
 class Terms(dict):
-    """Word -> feature number of the term: lower case, punctuation around it dropped. Starts anew when full."""
+    """Word -> feature numbers of its terms: the word (lower case, punctuation around it dropped) and its first
+    letters, which inflected forms share. Starts anew when full."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= CACHE:
             self.clear()
-        term = word.decode("utf-8", "replace").lower().encode().strip(_PUNCT)
-        value = self[word] = zlib.crc32(term) * 0x9E3779B1 % (1 << 32) >> 14
+        term = word.decode("utf-8", "replace").lower().encode().strip(_PUNCT).decode("utf-8", "replace")
+        terms = [term, *(f"{term[:n]}*" for n in STEMS if len(term) > n)]
+        value = self[word] = tuple(zlib.crc32(t.encode()) * 0x9E3779B1 % (1 << 32) >> 14 for t in terms)
         return value
 
 
@@ -44,18 +48,17 @@ _terms = Terms()
 
 def features(text: bytes | None) -> np.ndarray:
     """The sorted term numbers of a whole text; none for null or without words."""
-    words = (text or b"").split()
     found: set[int] = set()
-    for at in range(0, len(words), STEP):
-        found.update(map(_terms.__getitem__, words[at : at + STEP]))
+    for word in set((text or b"").split()):
+        found.update(_terms[word])
     return np.sort(np.fromiter(found, dtype=np.int32, count=len(found)))
 
 
 class Machine:
     """Weights by follow-the-regularised-leader, so rare terms stay exactly zero; vectors by AdaGrad."""
 
-    alpha, beta, l1, l2 = 0.1, 1.0, 1.5, 1.0
-    rate, decay = 0.05, 1e-4
+    alpha, beta, l1, l2 = 0.5, 1.0, 5.0, 1.0
+    rate, decay = 0.01, 1e-3
 
     def __init__(self) -> None:
         draw = np.random.default_rng(11)
