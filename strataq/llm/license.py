@@ -2,11 +2,16 @@
 
 With A and B different bigrams, Dice is at most 2 min(A, B) / (A + B), so a template can reach the threshold
 only if its size is within a factor of (2 - t) / t of the text's. Those bounds choose the templates a text is
-held against; bigrams that no template has are dropped before anything is shuffled. Built-in functions only.
+held against. A text must also hold some of a template's rarer words, so most texts are passed over by one
+pattern, and bigrams that no template has are dropped before anything is shuffled. Built-in functions only.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +69,37 @@ def template_table(spark: SparkSession, templates: tuple[tuple[str, str], ...] =
     return spark.range(1).select(F.explode(rows).alias("t")).select("t.*").withColumn("grams", bigrams(normal_words(F.col("notice")))).withColumn("b", F.size("grams")).drop("notice")
 
 
+def anchors(templates: tuple[tuple[str, str], ...], threshold: float) -> list[str]:
+    """Words of which every text has one, in lower case, that reaches the threshold with some template.
+
+    To reach it with a template of b bigrams a text needs t b / (2 - t) of them. So if words cover one bigram
+    more than it may miss, the text holds one of those words. They are chosen greedily over all templates, long
+    words first, which are rare in other texts.
+    """
+    open_pairs: list[tuple[int, set]] = []
+    for _, notice in templates:
+        words = re.findall(r"[^\W_]+", notice.lower())
+        pairs = set(zip(words, words[1:], strict=False)) or {tuple(words)}
+        needed = math.ceil(threshold * len(pairs) / (2 - threshold) - 1e-9)
+        open_pairs.append((len(pairs) - needed + 1, pairs))
+    chosen: list[str] = []
+    while any(n > 0 for n, _ in open_pairs):
+        gain: dict[str, float] = {}
+        for n, pairs in open_pairs:
+            for w in {w for p in pairs for w in p} if n > 0 else ():
+                rare = 1.0 if len(w) >= 7 else 0.3 if len(w) >= 5 else 0.02
+                gain[w] = gain.get(w, 0) + rare * min(n, sum(w in p for p in pairs))
+        best = max(gain, key=lambda w: (gain[w], w))
+        chosen.append(best)
+        open_pairs = [(n - sum(best in p for p in pairs), {p for p in pairs if best not in p}) for n, pairs in open_pairs]
+    return [w for w in chosen if not any(o != w and o in w for o in chosen)]
+
+
+def holds_any(text: Column, words: list[str]) -> Column:
+    """Whether the text, in lower case, has one of the words as a part."""
+    return F.transform(F.array(F.lower(text)), lambda t: reduce(lambda a, w: a | F.contains(t, F.lit(w)), words[1:], F.contains(t, F.lit(words[0]))))[0]
+
+
 def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """(doc_id, text_key, unit, license, dice): each line of a text, and each whole text, that reaches the
     threshold with a template; unit is the line's number from 0, or -1 for the whole of a short text of several lines.
@@ -79,8 +115,9 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: tuple[tuple[s
         F.transform(lines, lambda line, i: F.struct(i.alias("unit"), line.alias("said"))),
         F.when(whole, F.array(F.struct(F.lit(-1).alias("unit"), text.alias("said")))).otherwise(F.array().cast("array<struct<unit:int,said:string>>")),
     )
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.explode(units).alias("u"))
-    sized = keyed.select("doc_id", "text_key", "u.unit", bigrams(normal_words(F.col("u.said"))).alias("grams")).withColumn("a", F.size("grams"))
+    may = anchors(templates, threshold)
+    keyed = docs.filter(holds_any(text, may)).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.explode(units).alias("u"))
+    sized = keyed.filter(holds_any(F.col("u.said"), may)).select("doc_id", "text_key", "u.unit", bigrams(normal_words(F.col("u.said"))).alias("grams")).withColumn("a", F.size("grams"))
     fitting = sized.filter((F.col("a") >= low) & (F.col("a") <= high))
     each = fitting.select("doc_id", "text_key", "unit", "a", F.explode("grams").alias("gram"))
     wanted = sizes.select("template", "license", "b", F.explode("grams").alias("gram"))
