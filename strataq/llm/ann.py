@@ -124,16 +124,16 @@ def _meet(data: DataFrame, queries: DataFrame, codes: Codes, radius: int, n_data
     q = queries.withColumn("q", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, query_blocks))).cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(max(0, data_blocks - 1)))))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, q_ids = (t.column("vec_id").to_numpy() for t in (left, right))
+        ids, q_ids = left.column("vec_id").to_numpy(), right.column("q_id").to_numpy()
         found: tuple[list, list, list] = ([], [], [])
         if len(ids) and len(q_ids):
-            x, y = matrix(left.column("vec")), matrix(right.column("vec"))
+            x, y = matrix(left.column("vec")), matrix(right.column("q_vec"))
             found = _search(shared.value, q_ids, y, ids, x, top, radius)
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
 
     d = d.select("vec_id", "vec", F.col("d").cast("int").alias("d"), F.col("q").cast("int").alias("q"))
-    q = q.select("vec_id", "vec", F.col("d").cast("int").alias("d"), F.col("q").cast("int").alias("q"))
-    return d.groupBy("d", "q").cogroup(q.groupBy("d", "q")).applyInArrow(run, "query_id long, vec_id long, score double")
+    q = q.select(F.col("vec_id").alias("q_id"), F.col("vec").alias("q_vec"), F.col("d").cast("int").alias("qd"), F.col("q").cast("int").alias("qq"))
+    return d.groupBy("d", "q").cogroup(q.groupBy("qd", "qq")).applyInArrow(run, "query_id long, vec_id long, score double")
 
 
 def _best(found: DataFrame, top: int) -> DataFrame:

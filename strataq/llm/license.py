@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import settle
 
 THRESHOLD = 0.8
+#: What rounding may take from a size bound, so that a text just at the threshold passes.
+SLACK = 1e-6
 #: A text of several lines is also compared as a whole, up to this many times the longest template's characters.
 WHOLE = 4
 
@@ -107,7 +109,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: tuple[tuple[s
     """
     sizes = template_table(docs.sparkSession, templates)
     bounds = sizes.agg(F.min("b").alias("low"), F.max("b").alias("high")).first()
-    low, high = bounds["low"] * threshold / (2 - threshold), bounds["high"] * (2 - threshold) / threshold
+    low, high = bounds["low"] * threshold / (2 - threshold) - SLACK, bounds["high"] * (2 - threshold) / threshold + SLACK
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.split(text, "\n")
     whole = (F.size(lines) > 1) & (F.length(text) <= WHOLE * max(len(notice) for _, notice in templates))
@@ -123,7 +125,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: tuple[tuple[s
     wanted = sizes.select("template", "license", "b", F.explode("grams").alias("gram"))
     t = F.lit(threshold)
     # the templates are literals of this module or of the caller: a bounded side
-    met = each.join(F.broadcast(wanted), "gram").filter((F.col("b") * t <= F.col("a") * (2 - t)) & (F.col("a") * t <= F.col("b") * (2 - t)))
+    met = each.join(F.broadcast(wanted), "gram").filter((F.col("b") * t <= F.col("a") * (2 - t) + SLACK) & (F.col("a") * t <= F.col("b") * (2 - t) + SLACK))
     shared = met.groupBy("doc_id", "text_key", "unit", "a", "template", "license", "b").agg(F.count_distinct("gram").alias("both"))
     dice = 2.0 * F.col("both") / (F.col("a") + F.col("b"))
     found = shared.withColumn("dice", dice).filter(F.col("dice") >= t)

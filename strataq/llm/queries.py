@@ -68,8 +68,8 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+WITH d AS MATERIALIZED (
+  SELECT doc_id, source, row_number() OVER () AS c, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
          md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h, md5(coalesce(text, '')) AS k
   FROM documents),
 s AS (
@@ -87,20 +87,20 @@ t AS (
          CASE WHEN o.place IS NULL OR (l.ratio, l.place) < (o.ratio, o.place) THEN CAST(l.cap AS DOUBLE) ELSE l.weight * o.level END AS target
   FROM l LEFT JOIN o ON true),
 b AS (
-  SELECT d.doc_id, d.size, d.h, d.k, t.source_size, t.place, t.target,
-         coalesce(sum(d.size) OVER (PARTITION BY t.place ORDER BY d.h, d.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  SELECT d.doc_id, d.c, d.size, d.h, d.k, t.source_size, t.place, t.target,
+         coalesce(sum(d.size) OVER (PARTITION BY t.place ORDER BY d.h, d.k, d.c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 q AS (
   SELECT b.*, r.round, CAST(before + size + r.round * source_size AS DOUBLE) / target AS done
   FROM b, (SELECT unnest([0, 1, 2]) AS round) r WHERE size > 0),
-c AS (SELECT *, sum(size) OVER (ORDER BY done, place, h, k ROWS UNBOUNDED PRECEDING) AS spent FROM q),
-cut AS (SELECT done, place, h, k FROM c WHERE spent > (SELECT sum(source_size) FROM t) ORDER BY done, place, h, k LIMIT 1),
+s2 AS (SELECT *, sum(size) OVER (ORDER BY done, place, h, k ROWS UNBOUNDED PRECEDING) AS spent FROM q),
+cut AS (SELECT done, place, h, k FROM s2 WHERE spent > (SELECT sum(source_size) FROM t) ORDER BY done, place, h, k LIMIT 1),
 n AS (
-  SELECT c.doc_id, c.h, c.k, count(*) AS times FROM c LEFT JOIN cut ON true
-  WHERE cut.place IS NULL OR (c.done, c.place, c.h, c.k) < (cut.done, cut.place, cut.h, cut.k)
-  GROUP BY c.doc_id, c.h, c.k)
+  SELECT s2.c, count(*) AS times FROM s2 LEFT JOIN cut ON true
+  WHERE cut.place IS NULL OR (s2.done, s2.place, s2.h, s2.k) < (cut.done, cut.place, cut.h, cut.k)
+  GROUP BY s2.c)
 SELECT b.doc_id, CAST(b.size AS BIGINT) AS size, b.source_size, b.target, CAST(coalesce(n.times, 0) * b.size AS BIGINT) AS taken
-FROM b LEFT JOIN n ON b.h = n.h AND b.k = n.k AND b.doc_id IS NOT DISTINCT FROM n.doc_id
+FROM b LEFT JOIN n ON b.c = n.c
 """
 
 OP4_SQL = """
