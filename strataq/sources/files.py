@@ -312,7 +312,8 @@ def parse_docx(content: bytes) -> tuple[str | None, str, list[tuple[str, str]]]:
         return "".join(out).strip()
 
     lines = []
-    for node in root.find(f"{_W}body") or []:
+    body = root.find(f"{_W}body")
+    for node in body if body is not None else []:
         if node.tag == f"{_W}p":
             style = node.find(f"{_W}pPr/{_W}pStyle")
             m = re.search(r"(?i)heading\s*(\d)", style.get(f"{_W}val", "")) if style is not None else None
