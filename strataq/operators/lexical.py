@@ -50,7 +50,7 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, modality: str | None = No
     over all chunks, also if ``modality`` restricts the results.
     """
     wanted = broadcast_if_small(query_terms(queries))
-    indexed = fields(chunks if modality is None or modality == "both" else chunks).select("*", F.size("words").alias("dl"))
+    indexed = fields(chunks).select("*", F.size("words").alias("dl"))
     stats = indexed.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # two rows
     terms = wanted.select("term").distinct()
     exploded = indexed.select("path", "chunk_index", "field", "dl", F.explode("words").alias("term"))

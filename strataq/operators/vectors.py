@@ -23,7 +23,8 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, level: str
     """query_id, rank, path, chunk_index, score: the ``k`` documents nearest by cosine, best row of each.
 
     vectors: path, chunk_index, is_doc_level, modality, embedding; queries: query_id, embedding. level: chunk,
-    doc, or both. The scan is exact. The query side is broadcast if it is small.
+    doc, or both. The scan is exact. The query side is broadcast if it is small; else partitions meet partitions
+    (the lengths are compared in a form that makes no join key, as all rows would have the same).
     """
     rows = vectors
     if level in ("chunk", "doc"):
@@ -31,7 +32,7 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, level: str
     if modality not in (None, "both"):
         rows = rows.filter(F.col("modality") == modality)
     q = queries.select("query_id", F.col("embedding").alias("wanted"))
-    scored = rows.join(broadcast_if_small(q), F.size("embedding") == F.size("wanted"))
+    scored = rows.join(broadcast_if_small(q), F.size("embedding") - F.size("wanted") == 0)
     scored = scored.select("query_id", "path", "chunk_index", cosine(F.col("embedding"), F.col("wanted")).alias("score"))
     best = scored.groupBy("query_id", "path").agg(F.max(F.struct(F.round("score", 9).alias("s"), -F.col("chunk_index"), "score", "chunk_index")).alias("b"))
     return ranked(best.select("query_id", "path", "b.chunk_index", "b.score"), k).select("query_id", "rank", "path", "chunk_index", "score")

@@ -722,4 +722,75 @@ def stream_upsert(t: Tables) -> DataFrame:
     return sync.upsert(rows.filter("seq < 0"), rows, "user_id")
 
 
+@query("SELECT path, title FROM (SELECT 'doc/' || doc_id || '.md' AS path, source AS title FROM documents) ORDER BY path LIMIT 100 OFFSET 50")
+def list_notes(t: Tables) -> DataFrame:
+    return catalog.list_notes(t.files().select("path", "title"), 100, 50)
+
+
+@query(with_views("files", "SELECT path, left(array_to_string(string_split(text, chr(10))[2:4], chr(10)), 4096) AS text, NULL::VARCHAR AS error FROM files"))
+def read_lines(t: Tables) -> DataFrame:
+    """Lines 2 to 4 of every document."""
+    f = t.files()
+    return catalog.read_lines(f, f.select("path", F.lit(2).alias("start"), F.lit(4).alias("end")))
+
+
+@query(with_views("chunks", "SELECT path, chunk_index, strlen(text) AS n, coalesce(strlen(lag(text) OVER w), -1) AS previous, coalesce(strlen(lead(text) OVER w), -1) AS next FROM chunks WINDOW w AS (PARTITION BY path ORDER BY chunk_index)"))
+def chunk_neighbours(t: Tables) -> DataFrame:
+    near = catalog.chunk_with_neighbours(t.chunks(), t.chunks().select("path", "chunk_index"))
+    return near.select("path", "chunk_index", *[F.coalesce(F.octet_length(c).cast("long"), F.lit(-1)).alias(n) for c, n in (("text", "n"), ("previous", "previous"), ("next", "next"))])
+
+
+@query(
+    with_views(
+        "chunks queries",
+        f"""+{BM25}, r AS (SELECT query_id, lang AS corpus, path, row_number() OVER (PARTITION BY query_id, lang ORDER BY round(score, 9) DESC, path, chunk_index) AS rank FROM bm25 JOIN files USING (path)),
+f AS (SELECT query_id, corpus, path, sum(1.0 / (60 + rank)) AS score FROM r WHERE rank <= 10 GROUP BY ALL)
+SELECT query_id, corpus, path, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, corpus, path) AS INTEGER) AS rank FROM f QUALIFY rank <= 10""",
+    )
+)
+def corpus_fan_out(t: Tables) -> DataFrame:
+    """The same queries over each language as a corpus, fused."""
+    scored = lexical.bm25_scores(t.chunks(), t.queries()).join(t.files().select("path", F.col("lang").alias("corpus")), "path")
+    order = Window.partitionBy("query_id", "corpus").orderBy(F.desc(F.round("score", 9)), "path", "chunk_index")
+    lists = scored.withColumn("rank", F.row_number().over(order)).filter("rank <= 10")
+    return rounded(analytics.fan_out(lists), "score")
+
+
+@query(with_views("chunks queries", f"+{BM25} SELECT path FROM files WHERE path NOT IN (SELECT path FROM bm25 WHERE rank <= 10)"))
+def uncovered_notes(t: Tables) -> DataFrame:
+    return analytics.uncovered(t.chunks(), t.queries(), t.files().select("path"))
+
+
+@query(with_views("edges", "SELECT edge_type, count(*) AS n FROM edges WHERE class IN ('semantic', 'hybrid') GROUP BY edge_type"))
+def edge_class_filter(t: Tables) -> DataFrame:
+    return graph.select_edges(t.edges(), edge_class="semantic").groupBy("edge_type").agg(F.count("*").alias("n"))
+
+
+@query(with_views("edges", "SELECT edge_type, count(*) AS n FROM edges WHERE src NOT LIKE 'nation/%' AND dst NOT LIKE 'nation/%' GROUP BY edge_type"))
+def node_removal(t: Tables) -> DataFrame:
+    gone = t.raw("nation").select(F.concat(F.lit("nation/"), F.col("n_nationkey").cast("string")).alias("node"))
+    return graph.without_nodes(t.edges(), gone).groupBy("edge_type").agg(F.count("*").alias("n"))
+
+
+@query(with_views("symbols", "SELECT id, regexp_extract(scope_path, '([^>:.\\s]+)\\s*$', 1) AS leaf, array_to_string(string_split(path, '/')[1:2], '/') AS directory FROM symbols"))
+def scope_leaf(t: Tables) -> DataFrame:
+    return t.symbols().select("id", tx.leaf(F.col("scope_path")).alias("leaf"), tx.directory_key(F.col("path")).alias("directory"))
+
+
+@query(
+    """WITH w AS (SELECT event_type, value, unnest([time_bucket(INTERVAL '5 minutes', ts), time_bucket(INTERVAL '5 minutes', ts) - INTERVAL '5 minutes']) AS start FROM events)
+SELECT start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM w GROUP BY ALL"""
+)
+def sliding_windows(t: Tables) -> DataFrame:
+    return rounded(sync.windowed(t.raw("events"), "10 minutes", "5 minutes"), "total")
+
+
+@query(with_views("symbols", "SELECT 'main' AS corpus, name, path, start_line AS line, 'defines' AS role FROM symbols ORDER BY path, line, name LIMIT 100"))
+def where_defined(t: Tables) -> DataFrame:
+    """Identifiers of every name; none are indexed, so symbols answer."""
+    s = t.symbols().withColumn("corpus", F.lit("main"))
+    none = s.filter("id < 0").select("corpus", "name", "path", F.col("start_line").alias("line"), F.lit("uses").alias("role"))
+    return catalog.where(none, s, s.select("name"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "hamming"]
