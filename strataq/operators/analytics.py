@@ -18,8 +18,10 @@ def census(symbols: DataFrame) -> DataFrame:
 def path_coverage(asked: DataFrame, files: DataFrame, chunks: DataFrame, symbols: DataFrame) -> DataFrame:
     """path, files, chunks, symbols, covered for each asked path or prefix."""
     per = files.join(chunks.groupBy("path").agg(F.count("*").alias("c")), "path", "left").join(symbols.groupBy("path").agg(F.count("*").alias("s")), "path", "left")
-    asked = F.broadcast(asked.select(F.col("path").alias("asked")).distinct().limit(10_000))  # what a caller lists
-    met = asked.join(per, F.col("path").startswith(F.col("asked")), "left")
+    asked = asked.select(F.col("path").alias("asked")).distinct()
+    lengths = [r["n"] for r in asked.select(F.length("asked").alias("n")).distinct().collect() if r["n"] is not None]  # bounded by the longest path
+    prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda x: x.isNotNull()) if lengths else F.array().cast("array<string>")
+    met = asked.join(per.select("*", F.explode(prefixes).alias("asked")), "asked", "left")
     counted = met.groupBy(F.col("asked").alias("path")).agg(F.count("path").alias("files"), F.coalesce(F.sum("c"), F.lit(0)).alias("chunks"), F.coalesce(F.sum("s"), F.lit(0)).alias("symbols"))
     return counted.withColumn("covered", (F.col("chunks") > 0) | (F.col("symbols") > 0))
 

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataq.functions.scale import broadcast_if_small
+
 from . import graph
 from .fusion import K, best_per, clean_path, concat_partitions, first_rank, is_code_path, ranked, rrf, union_lists
 from .lexical import bm25
@@ -71,8 +73,8 @@ def hybrid_full(corpus: Corpus, queries: DataFrame, limit: int = 10, depth: int
     by_path = direct.groupBy("query_id", "path").agg(
         F.sum(1 / (K + F.col("rank"))).alias("rrf"),
         F.max("score").alias("direct"),
-        F.max(F.when(F.col("source") == "bm25", F.struct("score", (-F.col("chunk_index")).alias("c")))).alias("lexical"),
-        F.max(F.when(F.col("source") == "vector", F.struct("score", (-F.col("chunk_index")).alias("c")))).alias("dense"),
+        F.max(F.when(F.col("source") == "bm25", F.struct(F.round("score", 9).alias("s"), (-F.col("chunk_index")).alias("c")))).alias("lexical"),
+        F.max(F.when(F.col("source") == "vector", F.struct(F.round("score", 9).alias("s"), (-F.col("chunk_index")).alias("c")))).alias("dense"),
     )
     joined = by_path.join(boost.withColumnRenamed("rank", "graph_rank"), ["query_id", "path"], "full_outer")
     part = F.when(F.col("graph_rank").isNull(), 0.0).when(F.col("rrf").isNull(), 1 / (GRAPH_ONLY_K + F.col("graph_rank"))).otherwise(1 / (K + F.col("graph_rank")))
@@ -308,8 +310,11 @@ def name_pagerank(corpus: Corpus, queries: DataFrame, limit: int = 10, alpha: fl
     """PageRank from the nodes whose name holds a term of the query."""
     from .lexical import query_terms
 
-    nodes = graph.nodes_of(corpus.edges).withColumn("low", F.lower(F.col("node").cast("string")))
-    met = nodes.join(F.broadcast(query_terms(queries).filter(F.length("term") >= 3)), F.col("low").contains(F.col("term")))
+    terms = query_terms(queries).filter(F.length("term") >= 3).select("query_id", "term", F.length("term").alias("n"))
+    lengths = [r["n"] for r in terms.select("n").distinct().collect()]  # tokens have a longest length, so these are few
+    low = F.lower(F.col("node").cast("string"))
+    parts = F.array_distinct(F.flatten(F.array(*[F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i, n=n: F.substring(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in lengths]))) if lengths else F.array().cast("array<string>")
+    met = graph.nodes_of(corpus.edges).select("node", F.explode(parts).alias("term")).join(broadcast_if_small(terms), "term")
     seeds = met.select(F.col("query_id").alias("seed"), "node", F.lit(1.0).alias("weight")).distinct()
     p = graph.personalized_pagerank(corpus.edges, seeds, alpha, iterations)
     return ranked(p.select(F.col("seed").alias("query_id"), F.col("node").alias("path"), "score"), limit)

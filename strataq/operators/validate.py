@@ -8,6 +8,7 @@ import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataq.functions.scale import broadcast_if_small
 from strataq.functions.text import headings, is_date_like
 
 from .graph import class_matches, cycles
@@ -109,7 +110,7 @@ def edge_target_issues(edges: DataFrame, notes: DataFrame, symbols: DataFrame, e
     edges: src, dst, edge_type, target_kind; expected: edge_type, template. Symbol targets must be in the catalog.
     """
     known = notes.select(F.col("path").alias("dst"), F.col("template").alias("has"))
-    rows = edges.join(known, "dst", "left").join(symbols.select(F.col("name").alias("dst"), F.lit(True).alias("symbol")).distinct(), "dst", "left").join(F.broadcast(expected), "edge_type", "left")
+    rows = edges.join(known, "dst", "left").join(symbols.select(F.col("name").alias("dst"), F.lit(True).alias("symbol")).distinct(), "dst", "left").join(broadcast_if_small(expected), "edge_type", "left")
     is_symbol = F.col("target_kind") == "code_symbol"
     kind = (
         F.when(is_symbol & F.col("symbol").isNull(), F.struct(F.lit("warning").alias("severity"), F.lit("symbol not found").alias("message")))

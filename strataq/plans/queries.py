@@ -36,6 +36,7 @@ def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
 
 
 TOKENS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '' AND strlen(t) <= 40)"
+SCORE = "sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)))"
 BM25 = f"""
 terms AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({TOKENS.format("text")}) AS term FROM queries) GROUP BY ALL),
 fields AS (
@@ -46,7 +47,7 @@ tf AS (SELECT path, chunk_index, field, dl, term, count(*) AS tf FROM (SELECT pa
        WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
 df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY ALL),
 scores AS (
-  SELECT query_id, path, chunk_index, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+  SELECT query_id, path, chunk_index, {SCORE} AS score
   FROM tf JOIN df USING (field, term) JOIN stats USING (field) JOIN terms USING (term) GROUP BY ALL),
 bm25 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path, chunk_index) AS rank FROM scores)
 """
@@ -60,32 +61,6 @@ def bm25_topk(t: Tables) -> DataFrame:
     return rounded(lexical.bm25(t.chunks(), t.queries()), "score")
 
 
-@query(
-    with_views(
-        "chunks queries",
-        f"""+{BM25}, titled AS (
-  SELECT query_id, path, min(rank) AS r FROM (
-    SELECT DISTINCT q.query_id, f.path, row_number() OVER (PARTITION BY q.query_id ORDER BY f.title, f.path) AS rank
-    FROM queries q JOIN files f ON left(lower(q.text), 1) = left(lower(f.text), 1)) WHERE rank <= 30 GROUP BY ALL),
-lists AS (
-  SELECT query_id, path, min(rank) AS r FROM bm25 WHERE rank <= 30 GROUP BY ALL
-  UNION ALL SELECT query_id, path, r FROM titled),
-fused AS (SELECT query_id, path, sum(1.0 / (60 + r)) AS score FROM lists GROUP BY ALL)
-SELECT query_id, path, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path) AS rank FROM fused) WHERE rank <= 10""",
-    )
-)
-def flagship(t: Tables) -> DataFrame:
-    """BM25 and a ranking by initial and title, fused."""
-    first = lambda c: F.substring(F.lower(c), 1, 1)
-    best = fusion.first_rank(lexical.bm25(t.chunks(), t.queries(), 30))
-    q = t.queries().select("query_id", first("text").alias("i"))
-    met = t.files().select("path", "title", first("text").alias("i")).join(q, "i")
-    order = Window.partitionBy("query_id").orderBy("title", "path")
-    titled = met.withColumn("rank", F.row_number().over(order)).filter("rank <= 30").select("query_id", "path", "rank")
-    return rounded(fusion.rrf(fusion.union_lists({"bm25": best, "title": titled})), "score")
-
-
 @query(
     with_views(
         "vectors vector_queries",
@@ -164,16 +139,55 @@ def fingerprint_projection(t: Tables) -> DataFrame:
 
 
 def _corpus(t: Tables) -> tuple[search.Corpus, DataFrame]:
-    """Chunks, shared-source edges between documents, vectors; queries with a vector each."""
-    w = Window.partitionBy("source").orderBy("path")
-    chain = t.files().select("path", F.lead("path").over(w).alias("next")).filter("next is not null")
-    edges = chain.select(F.col("path").alias("src"), F.col("next").alias("dst"), F.lit("Link").alias("edge_type"), F.lit("structural").alias("class"), F.lit(1.0).alias("weight"))
-    vecs = t.vectors()
+    """Chunks, an edge from each document to the next by id, vectors; queries with a vector each."""
+    path = lambda c: F.concat(F.lit("doc/"), c.cast("string"), F.lit(".md"))
+    ids = t.raw("documents").select("doc_id")
+    chain = ids.join(ids.select((F.col("doc_id") - 1).alias("doc_id")), "doc_id")
+    edges = chain.select(path(F.col("doc_id")).alias("src"), path(F.col("doc_id") + 1).alias("dst"), F.lit("Link").alias("edge_type"), F.lit("structural").alias("class"), F.lit(1.0).alias("weight"))
     q = t.queries().join(t.raw("embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
-    return search.Corpus(t.chunks(), edges, vecs), q
-
-
-LINKS = "links AS (SELECT * FROM (SELECT path AS src, lead(path) OVER (PARTITION BY source ORDER BY path) AS dst FROM files) WHERE dst IS NOT NULL)"
+    return search.Corpus(t.chunks(), edges, t.vectors()), q
+
+
+LINKS = "links AS (SELECT 'doc/' || a.doc_id || '.md' AS src, 'doc/' || b.doc_id || '.md' AS dst FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)"
+#: The nearest vectors of each query that has one.
+DENSE = """
+vq AS (SELECT q.query_id, e.embedding::DOUBLE[] AS e FROM queries q JOIN embeddings e ON e.vec_id = q.query_id),
+vs AS (SELECT query_id, path, chunk_index, list_dot_product(embedding::DOUBLE[], e) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(e, e))) AS score FROM vectors, vq),
+vb AS (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY round(score, 9) DESC, chunk_index) AS n FROM vs),
+dense AS (SELECT query_id, path, chunk_index, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path) AS rank FROM vb WHERE n = 1)"""
+#: From seeds (query_id, path) the sum of 1 / hops over two hops, damped by in-degree, with ranks.
+BOOST = """
+near AS (SELECT query_id, seed, path, min(h) AS h FROM (
+  SELECT query_id, s.path AS seed, a.dst AS path, 1 AS h FROM seeds s JOIN links a ON s.path = a.src
+  UNION ALL SELECT query_id, s.path, b.dst, 2 FROM seeds s JOIN links a ON s.path = a.src JOIN links b ON a.dst = b.src) WHERE seed <> path GROUP BY ALL),
+boosts AS (SELECT query_id, path, sum(1.0 / h) * {damp} AS boost, min(h) AS hops FROM near LEFT JOIN (SELECT dst AS path, count(*) AS indeg FROM links GROUP BY dst) USING (path) GROUP BY query_id, path, indeg),
+boosted AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(boost, 9) DESC, path) AS rank FROM boosts)"""
+DAMPED = BOOST.format(damp="(1 / sqrt(1 + coalesce(indeg, 0) / 10.0))")
+LEXICAL = "SELECT 'bm25' AS kind, query_id, path, chunk_index, round(score, 9) AS score, rank FROM bm25 WHERE rank <= 30"
+
+
+def _fused(lists: str) -> str:
+    """SQL of the hybrid ranking of ``lists``: the rows of its signals."""
+    return f"""direct AS ({lists}),
+seeds AS (SELECT DISTINCT query_id, path FROM direct WHERE rank <= 5), {DAMPED},
+by_path AS (
+  SELECT query_id, path, sum(1.0 / (60 + rank)) AS rrf, max(score) AS direct,
+    coalesce(max((score, -chunk_index)) FILTER (WHERE kind = 'bm25'), max((score, -chunk_index)) FILTER (WHERE kind = 'vector')) AS best
+  FROM direct GROUP BY ALL),
+joined AS (
+  SELECT coalesce(p.query_id, g.query_id) AS query_id, coalesce(p.path, g.path) AS path, coalesce(p.direct, 0) AS direct, -p.best[2] AS chunk_index,
+    coalesce(1.0 / g.hops, 0) AS graph_boost,
+    coalesce(p.rrf, 0) + CASE WHEN g.rank IS NULL THEN 0 WHEN p.rrf IS NULL THEN 1.0 / (120 + g.rank) ELSE 1.0 / (60 + g.rank) END AS score
+  FROM by_path p FULL JOIN boosted g ON p.query_id = g.query_id AND p.path = g.path),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, direct DESC, path) AS rank FROM joined)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, path, round(score, 6) AS score, CAST(coalesce(chunk_index, -1) AS INTEGER) AS chunk_index, round(graph_boost, 6) AS graph_boost FROM placed WHERE rank <= 10"""
+
+
+@query(with_views("chunks queries", f"+{LINKS}, {BM25}, {_fused(LEXICAL)}"))
+def flagship(t: Tables) -> DataFrame:
+    """BM25 and graph neighbours, fused."""
+    corpus, _ = _corpus(t)
+    return rounded(search.hybrid_graph(corpus, t.queries()), "score", "graph_boost").fillna(-1, ["chunk_index"])
 
 
 @query(
@@ -194,25 +208,115 @@ def graph_search(t: Tables) -> DataFrame:
     return rounded(search.graph_search(corpus, t.queries()), "score")
 
 
-@query()
+@query(
+    with_views(
+        "chunks queries vectors",
+        f"+{LINKS}, {BM25}, {DENSE}, "
+        + _fused(f"{LEXICAL} AND query_id IN (SELECT query_id FROM vq) UNION ALL SELECT 'vector', query_id, path, chunk_index, round(score, 9), rank FROM dense WHERE rank <= 30"),
+    )
+)
 def hybrid_search(t: Tables) -> DataFrame:
     corpus, q = _corpus(t)
-    return rounded(search.hybrid_full(corpus, q), "score")
+    return rounded(search.hybrid_full(corpus, q), "score", "graph_boost").fillna(-1, ["chunk_index"])
 
 
-@query()
+PPR_STEP = """
+{out} AS (SELECT seed, node, sum(p) AS p FROM (
+  SELECT seed, l.dst AS node, 0.5 * x.p / d.degree AS p FROM {before} x JOIN degree d USING (node) JOIN {links} l ON l.src = x.node WHERE x.p >= 1e-9
+  UNION ALL SELECT seed, node, 0.5 * x.p FROM {before} x WHERE node NOT IN (SELECT node FROM degree) AND x.p >= 1e-9
+  UNION ALL SELECT seed, node, 0.5 * p FROM p0) GROUP BY ALL)"""
+
+
+@query(
+    with_views(
+        "chunks queries",
+        f"""+{LINKS}, {BM25}, ways AS (SELECT src, dst FROM links UNION ALL SELECT dst, src FROM links), degree AS (SELECT src AS node, count(*) AS degree FROM ways GROUP BY src),
+first AS (SELECT query_id, path, min(rank) AS rank, greatest(max(score), 0.001) AS w FROM bm25 WHERE rank <= 30 GROUP BY ALL),
+p0 AS (SELECT query_id AS seed, path AS node, w / sum(w) OVER (PARTITION BY query_id) AS p FROM first),
+{PPR_STEP.format(out="p1", before="p0", links="ways")}, {PPR_STEP.format(out="p2", before="p1", links="ways")},
+spread AS (SELECT seed AS query_id, node AS path, row_number() OVER (PARTITION BY seed ORDER BY round(p, 9) DESC, node) AS rank FROM p2),
+fused AS (SELECT query_id, path, sum(1.0 / (60 + rank)) AS score FROM (SELECT query_id, path, rank FROM first UNION ALL SELECT * FROM spread WHERE rank <= 30) GROUP BY ALL)
+SELECT query_id, path, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path) AS rank FROM fused) WHERE rank <= 10""",
+    )
+)
 def fast_search(t: Tables) -> DataFrame:
-    corpus, q = _corpus(t)
-    return rounded(search.fast(corpus, q.drop("embedding")), "score")
+    corpus, _ = _corpus(t)
+    return rounded(search.fast(corpus, t.queries()), "score")
 
 
-@query()
+@query(
+    with_views(
+        "chunks queries vectors",
+        f"""+{LINKS}, {BM25}, {DENSE},
+direct AS (
+  SELECT 'bm25' AS kind, query_id, path, min(rank) AS rank, max(score) AS raw FROM bm25 WHERE rank <= 30 AND query_id IN (SELECT query_id FROM vq) GROUP BY ALL
+  UNION ALL SELECT 'vector', query_id, path, rank, score FROM dense WHERE rank <= 30),
+seeds AS (SELECT DISTINCT query_id, path FROM direct WHERE rank <= 5), {BOOST.format(damp="1")},
+lists AS (SELECT * FROM direct UNION ALL SELECT 'graph', query_id, path, rank, boost FROM boosted),
+wide AS (
+  SELECT query_id, path, {", ".join(f"max(raw) FILTER (WHERE kind = '{k}') AS {k}_raw, min(rank) FILTER (WHERE kind = '{k}') AS {k}_rank, coalesce(sum(1.0 / (60 + rank)) FILTER (WHERE kind = '{k}'), 0) AS {k}_part" for k in ("bm25", "vector", "graph"))}
+  FROM lists GROUP BY ALL)
+SELECT query_id, path, {", ".join(f"round(coalesce({k}_raw, 0), 6)::DOUBLE AS {k}_raw, CAST(coalesce({k}_rank, -1) AS INTEGER) AS {k}_rank, round({k}_part, 6)::DOUBLE AS {k}_part" for k in ("bm25", "vector", "graph"))},
+  round(score, 6)::DOUBLE AS score, CAST(place AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path) AS place FROM (SELECT *, bm25_part + vector_part + graph_part AS score FROM wide)) WHERE place <= 10""",
+    )
+)
 def explain_search(t: Tables) -> DataFrame:
     corpus, q = _corpus(t)
-    return rounded(search.explain(corpus, q), "score")
+    kinds = ("bm25", "vector", "graph")
+    found = search.explain(corpus, q).fillna(-1, [f"{k}_rank" for k in kinds]).fillna(0.0, [f"{k}_raw" for k in kinds])
+    return rounded(found, "score", *[f"{k}_{c}" for k in kinds for c in ("raw", "part")])
 
 
-@query()
+def _strings(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _bare(x: str) -> str:
+    """SQL of a text without its question prefix."""
+    return f"substr({x}, 1 + coalesce(length(list_filter({_strings(search.QUESTION_PREFIXES)}, lambda p: starts_with(lower({x}), p))[1]), 0))"
+
+
+#: What lies left and right of the connective w in the text t.
+_LEFT, _RIGHT = _bare("trim(left(t, instr(lower(t), w) - 1), E' \\n\\t\\r')"), _bare("trim(substr(t, instr(lower(t), w) + length(w)), E' \\n\\t\\r')")
+CONCEPTS = f"""
+cuts AS (
+  SELECT query_id, 0 AS concept, text AS q, NULL::VARCHAR AS said FROM queries
+  UNION ALL
+  SELECT query_id, concept + 1, c.r, CASE WHEN c IS NULL THEN CASE WHEN strlen(t) >= 3 THEN t ELSE q END ELSE c.l END
+  FROM (
+    SELECT *, list_filter(list_transform({_strings(search.CONNECTIVES)}, lambda w: CASE WHEN contains(lower(t), w) THEN {{'l': {_LEFT}, 'r': {_RIGHT}}} END),
+                          lambda x: x IS NOT NULL AND strlen(x.l) >= 3 AND x.l <> 'the path' AND strlen(x.r) >= 3)[1] AS c
+    FROM (SELECT *, {_bare("q")} AS t FROM cuts WHERE q IS NOT NULL))),
+concepts AS (SELECT query_id, concept, said FROM cuts WHERE said IS NOT NULL AND (concept = 1 OR (strlen(said) >= 3 AND said <> 'the path')))"""
+
+
+@query(
+    with_views(
+        "chunks queries",
+        f"""+{LINKS}, {BM25}, {CONCEPTS},
+cterms AS (SELECT query_id, concept, term, count(*) AS times FROM (SELECT query_id, concept, unnest({TOKENS.format("said")}) AS term FROM concepts) GROUP BY ALL),
+cscores AS (SELECT query_id, concept, path, chunk_index, {SCORE} AS score FROM tf JOIN df USING (field, term) JOIN stats USING (field) JOIN cterms USING (term) GROUP BY ALL),
+found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, concept ORDER BY round(score, 9) DESC, path, chunk_index) AS rank FROM cscores) WHERE rank <= 20),
+best AS (SELECT DISTINCT query_id, concept, path FROM found WHERE rank <= 3),
+pairs AS (SELECT a.query_id, a.path AS source, b.path AS target FROM best a JOIN best b ON a.query_id = b.query_id AND a.concept < b.concept AND a.path <> b.path),
+steps AS (
+  SELECT a.src AS source, b.dst AS target, [a.dst] AS inner_nodes FROM links a JOIN links b ON a.dst = b.src
+  UNION ALL SELECT a.src, c.dst, [a.dst, b.dst] FROM links a JOIN links b ON a.dst = b.src JOIN links c ON b.dst = c.src
+  UNION ALL SELECT a.src, d.dst, [a.dst, b.dst, c.dst] FROM links a JOIN links b ON a.dst = b.src JOIN links c ON b.dst = c.src JOIN links d ON c.dst = d.src),
+between_ AS (SELECT query_id, unnest(inner_nodes) AS path FROM pairs JOIN steps USING (source, target)),
+bridges AS (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, path) AS rank FROM between_ GROUP BY query_id, path),
+lists AS (
+  SELECT query_id, path, rank, concept, 1.0 AS weight FROM found
+  UNION ALL SELECT query_id, path, rank, NULL, 0.5 FROM bm25 WHERE rank <= 20
+  UNION ALL SELECT query_id, path, rank, NULL, 0.2 FROM bridges),
+summed AS (SELECT query_id, path, sum(weight::DOUBLE / (60 + rank)) * greatest(count(DISTINCT concept), 1) AS score, count(DISTINCT concept) AS concepts FROM lists GROUP BY ALL)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, path, round(score, 6) AS score, concepts FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path) AS rank FROM summed) WHERE rank <= 10""",
+        recursive=True,
+    )
+)
 def multihop_search(t: Tables) -> DataFrame:
     corpus, _ = _corpus(t)
     return rounded(search.multihop(corpus, t.queries()), "score")
@@ -249,8 +353,8 @@ def file_collapse(t: Tables) -> DataFrame:
     with_views(
         "chunks queries",
         f"""+{BM25}, top AS (SELECT query_id, path, min(rank) AS rank FROM bm25 WHERE rank <= 10 GROUP BY ALL),
-judged AS (SELECT item_id AS query_id, 'doc/' || doc_id || '.md' AS path, CASE WHEN contains(d.text, b.text) THEN 2 ELSE 1 END AS grade
-  FROM benchmark b JOIN documents d ON left(b.text, 2) = left(d.text, 2)),
+met AS (SELECT DISTINCT query_id, path FROM (SELECT query_id, unnest(string_split(text, chr(10))) AS line FROM queries) q JOIN chunks c ON c.text = q.line AND c.text <> ''),
+judged AS (SELECT query_id, path, CASE WHEN contains(f.text, q.text) THEN 2 ELSE 1 END AS grade FROM met JOIN files f USING (path) JOIN queries q USING (query_id)),
 i AS (SELECT query_id, count(*) AS n, sum(CASE WHEN pl <= 10 THEN (pow(2, grade) - 1) / log2(pl + 1) ELSE 0 END) AS idcg
   FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, path) AS pl FROM judged) GROUP BY query_id),
 h AS (SELECT query_id, count(*) AS found, min(rank) AS first, sum((pow(2, grade) - 1) / log2(rank + 1)) AS dcg FROM top JOIN judged USING (query_id, path) GROUP BY query_id)
@@ -259,9 +363,12 @@ FROM i LEFT JOIN h USING (query_id)""",
     )
 )
 def rank_metrics(t: Tables) -> DataFrame:
-    b, d = t.raw("benchmark").withColumnRenamed("text", "wanted"), t.raw("documents")
-    met = d.join(b, F.substring("text", 1, 2) == F.substring("wanted", 1, 2))
-    judged = met.select(F.col("item_id").alias("query_id"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.when(F.col("text").contains(F.col("wanted")), 2).otherwise(1).alias("grade"))
+    """Relevant to a passage: documents with a line of it (1), with all of it (2)."""
+    q = t.queries().withColumnRenamed("text", "wanted")
+    lines = q.select("query_id", F.explode(F.split("wanted", "\n")).alias("text")).filter("text != ''").distinct()
+    met = t.chunks().select("path", "text").join(lines, "text").select("query_id", "path").distinct()
+    whole = t.files().select("path", "text").join(met, "path").join(q, "query_id")
+    judged = whole.select("query_id", "path", F.when(F.col("text").contains(F.col("wanted")), 2).otherwise(1).alias("grade"))
     top = fusion.first_rank(lexical.bm25(t.chunks(), t.queries()))
     return rounded(fusion.rank_metrics(top, judged), "recall", "precision", "mrr", "ndcg")
 
@@ -299,24 +406,19 @@ SELECT source, target, 3 AS hops FROM r GROUP BY ALL""",
 def shortest_paths(t: Tables) -> DataFrame:
     """From each order to its customer's region: order, customer, nation, region."""
     e = t.edges().filter(F.col("edge_type").isin("ordered_by", "in_nation", "in_region"))
-    orders, regions = e.filter("edge_type = 'ordered_by'").select(F.col("src").alias("source")), t.raw("region").select(F.concat(F.lit("region/"), F.col("r_regionkey").cast("string")).alias("target"))
-    return graph.shortest_paths(e, orders.distinct().join(F.broadcast(regions.limit(1000)), F.lit(True)), depth=3).select("source", "target", "hops")
-
-
-PPR_STEP = """
-{out} AS (SELECT seed, node, sum(p) AS p FROM (
-  SELECT seed, l.dst AS node, 0.5 * x.p / d.degree AS p FROM {before} x JOIN degree d USING (node) JOIN links l ON l.src = x.node WHERE x.p >= 1e-9
-  UNION ALL SELECT seed, node, 0.5 * x.p FROM {before} x WHERE node NOT IN (SELECT node FROM degree) AND x.p >= 1e-9
-  UNION ALL SELECT seed, node, 0.5 * p FROM p0) GROUP BY ALL)"""
+    homes = t.raw("customer").join(t.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), "n_regionkey")
+    name = lambda kind, c: F.concat(F.lit(f"{kind}/"), F.col(c).cast("string"))
+    pairs = t.raw("orders").join(homes, "o_custkey").select(name("order", "o_orderkey").alias("source"), name("region", "n_regionkey").alias("target"))
+    return graph.shortest_paths(e, pairs, depth=3).select("source", "target", "hops")
 
 
 @query(
     with_views(
         "edges",
         "+links AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges), degree AS (SELECT src AS node, count(*) AS degree FROM links GROUP BY src), p0 AS (SELECT 'region/' || r_regionkey AS seed, 'region/' || r_regionkey AS node, 1.0::DOUBLE AS p FROM region),"
-        + PPR_STEP.format(out="p1", before="p0")
+        + PPR_STEP.format(out="p1", before="p0", links="links")
         + ","
-        + PPR_STEP.format(out="p2", before="p1")
+        + PPR_STEP.format(out="p2", before="p1", links="links")
         + " SELECT seed, node, round(p, 7) AS score FROM p2",
     )
 )
