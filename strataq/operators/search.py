@@ -313,7 +313,13 @@ def name_pagerank(corpus: Corpus, queries: DataFrame, limit: int = 10, alpha: fl
     terms = query_terms(queries).filter(F.length("term") >= 3).select("query_id", "term", F.length("term").alias("n"))
     lengths = [r["n"] for r in terms.select("n").distinct().collect()]  # tokens have a longest length, so these are few
     low = F.lower(F.col("node").cast("string"))
-    parts = F.array_distinct(F.flatten(F.array(*[F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i, n=n: F.substring(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in lengths]))) if lengths else F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
+
+    def cut_out(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(low) - (n - 1))
+        return F.when(F.length(low) >= n, F.transform(starts, lambda i: F.substring(low, i, F.lit(n)))).otherwise(none)
+
+    parts = F.array_distinct(F.flatten(F.array(*map(cut_out, lengths)))) if lengths else none
     met = graph.nodes_of(corpus.edges).select("node", F.explode(parts).alias("term")).join(broadcast_if_small(terms), "term")
     seeds = met.select(F.col("query_id").alias("seed"), "node", F.lit(1.0).alias("weight")).distinct()
     p = graph.personalized_pagerank(corpus.edges, seeds, alpha, iterations)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strataq.functions import text as tx
 from strataq.functions.vector import cosine, hamming, l2_normalize
-from strataq.operators import analytics, catalog, chunk, community, federation, fusion, graph, lexical, pattern, search, validate, vectors
+from strataq.operators import analytics, catalog, chunk, community, federation, fusion, graph, layout, lexical, pattern, search, validate, vectors
 from strataq.sources import files as sources
 from strataq.streaming import sync
 
@@ -61,6 +61,12 @@ def bm25_topk(t: Tables) -> DataFrame:
     return rounded(lexical.bm25(t.chunks(), t.queries()), "score")
 
 
+@query(ORACLE_SQL["bm25_topk"])
+def bm25_indexed(t: Tables) -> DataFrame:
+    """The same ranking from the inverted index's tables."""
+    return rounded(lexical.bm25_indexed(lexical.build_index(t.chunks()), t.queries()), "score")
+
+
 @query(
     with_views(
         "vectors vector_queries",
@@ -322,6 +328,40 @@ def multihop_search(t: Tables) -> DataFrame:
     return rounded(search.multihop(corpus, t.queries()), "score")
 
 
+@query(
+    with_views(
+        "edges",
+        """+nodes AS (SELECT DISTINCT node FROM (SELECT src AS node FROM edges WHERE edge_type = 'in_region' UNION ALL SELECT dst FROM edges WHERE edge_type = 'in_region')),
+links AS (SELECT src, dst FROM edges WHERE edge_type = 'in_region' UNION ALL SELECT dst, src FROM edges WHERE edge_type = 'in_region'),
+degree AS (SELECT src AS node, count(*) AS degree FROM links GROUP BY src),
+p0 AS (SELECT 'region' AS seed, node, 1.0::DOUBLE / count(*) OVER () AS p FROM nodes WHERE contains(node, 'region')),"""
+        + ",".join(PPR_STEP.replace("0.5 * x.p", "0.15 * x.p").replace("0.5 * p FROM", "0.85 * p FROM").format(out=f"p{k + 1}", before=f"p{k}", links="links") for k in range(10))
+        + """ SELECT 0 AS query_id, node AS path, round(p, 6) AS score, CAST(row_number() OVER (ORDER BY round(p, 9) DESC, node) AS INTEGER) AS rank FROM p10 ORDER BY rank LIMIT 10""",
+    )
+)
+def name_search(t: Tables) -> DataFrame:
+    """Spread from the nodes whose name holds a word of the query."""
+    edges = t.edges().filter("edge_type = 'in_region'")
+    asked = t.spark.range(1).select(F.col("id").cast("int").alias("query_id"), F.lit("Region").alias("text"))
+    return rounded(search.name_pagerank(search.Corpus(t.chunks(), edges), asked), "score")
+
+
+@query(
+    with_views(
+        "files chunks symbols",
+        """+asked AS (SELECT DISTINCT 'src/' || lower(p_type) AS a FROM part UNION SELECT 'src/' UNION SELECT 'nowhere/'),
+f AS (SELECT DISTINCT path FROM symbols), s AS (SELECT path, count(*) AS s FROM symbols GROUP BY path)
+SELECT a AS path, count(f.path) AS files, CAST(0 AS BIGINT) AS chunks, CAST(coalesce(sum(s), 0) AS BIGINT) AS symbols, coalesce(sum(s), 0) > 0 AS covered
+FROM asked LEFT JOIN f ON starts_with(f.path, a) LEFT JOIN s USING (path) GROUP BY a""",
+    )
+)
+def path_coverage(t: Tables) -> DataFrame:
+    """Files and symbols below each folder of code, below all of them, and below one that is not there."""
+    names = t.raw("part").select(F.concat(F.lit("src/"), F.lower("p_type")).alias("path"))
+    asked = names.union(t.spark.range(1).select(F.explode(F.array(F.lit("src/"), F.lit("nowhere/"))).alias("path")))
+    return analytics.path_coverage(asked, t.symbols().select("path").distinct(), t.chunks(), t.symbols())
+
+
 @query(
     with_views(
         "chunks queries",
@@ -475,6 +515,23 @@ def graph_stats(t: Tables) -> DataFrame:
     return graph.graph_stats(t.edges(), users)
 
 
+@query(
+    with_views(
+        "edges",
+        """+d AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY node),
+n AS (SELECT *, row_number() OVER (ORDER BY degree DESC, node) AS place FROM d),
+k AS (SELECT n.*, count(DISTINCT e.src || e.edge_type || e.dst) AS shown_out FROM n LEFT JOIN (SELECT * FROM edges WHERE dst IN (SELECT node FROM n WHERE place <= 600)) e ON e.src = n.node WHERE place <= 600 GROUP BY ALL)
+SELECT node, degree, CAST(place AS INTEGER) AS place, shown_out FROM k""",
+    )
+)
+def graph_overview(t: Tables) -> DataFrame:
+    """The 600 nodes of highest degree, and how many edges each has to others of them."""
+    edges = t.edges().withColumn("corpus", F.lit("main"))
+    shown, links = layout.overview(graph.nodes_of(edges).withColumn("corpus", F.lit("main")), edges, 600)
+    out = links.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("shown_out"))
+    return shown.join(out, "node", "left").select("node", "degree", "place", F.coalesce("shown_out", F.lit(0)).alias("shown_out"))
+
+
 @query(with_views("edges", "SELECT DISTINCT 'part/' || p_partkey AS node FROM part WHERE 'part/' || p_partkey NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)"))
 def orphans(t: Tables) -> DataFrame:
     return graph.orphans(t.edges(), t.raw("part").select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("node")))
