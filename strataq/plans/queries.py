@@ -612,7 +612,16 @@ def pattern_two_hop(t: Tables) -> DataFrame:
     return pattern.match(t.edges(), nodes, "(s:supplier)-[:in_nation]->(n)-[:in_region]->(r)").select("anchor", "hop", "node")
 
 
-@query()
+@query(
+    with_views(
+        "edges",
+        """+l AS (SELECT DISTINCT 'customer/' || c_custkey AS anchor FROM customer ORDER BY anchor LIMIT 20),
+h1 AS (SELECT anchor, dst AS n1 FROM l JOIN edges ON anchor = src WHERE edge_type IN ('in_nation', 'in_region')),
+h2 AS (SELECT anchor, dst AS n2 FROM h1 JOIN edges ON n1 = src WHERE edge_type IN ('in_nation', 'in_region')),
+h AS (SELECT anchor, 1 AS hop, n1 AS node FROM h1 UNION ALL SELECT anchor, 2, n2 FROM h2)
+SELECT anchor, count(*) FILTER (WHERE hop = 1) AS direct, count(DISTINCT node) FILTER (WHERE hop = 2) AS transitive, count(DISTINCT node) AS files, CAST(max(hop) AS INTEGER) AS max_depth, count(*) AS total FROM h GROUP BY anchor""",
+    )
+)
 def impact_summary(t: Tables) -> DataFrame:
     nodes = graph.nodes_of(t.edges()).withColumn("label", F.regexp_extract("node", "^([a-z]+)/", 1)).withColumn("title", F.lit(None).cast("string"))
     return pattern.impact(pattern.match(t.edges(), nodes, "(c:customer)-[:in_nation|in_region*1..2]->(r)"))
@@ -744,16 +753,21 @@ def symbol_lookup(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT 'doc/' || doc_id || '.md' AS path, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 0), f AS (SELECT 'doc/' || doc_id || '.md' AS path, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0)
+    """WITH q AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id),
+s AS (
+  SELECT 'doc/' || doc_id || '.md' AS path, sha256(CASE WHEN quality = 0 THEN text || '!' ELSE text END) AS h FROM documents JOIN q USING (doc_id)
+  UNION ALL SELECT 'page/' || page_id || '.html', sha256(html) FROM pages),
+f AS (SELECT 'doc/' || doc_id || '.md' AS path, sha256(text) AS h FROM documents)
 SELECT coalesce(s.path, f.path) AS path, CASE WHEN s.path IS NULL THEN 'new' WHEN f.path IS NULL THEN 'deleted' WHEN s.h <> f.h THEN 'modified' ELSE 'unchanged' END AS change FROM s FULL JOIN f ON s.path = f.path"""
 )
 def delta_diff(t: Tables) -> DataFrame:
-    """Two states of the documents: what one lacks, has besides, or has changed."""
-    path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path")
-    docs = t.raw("documents")
-    stored = docs.filter("doc_id % 7 <> 0").select(path, tx.content_hash(F.col("text")).alias("content_hash"))
-    found = docs.filter("doc_id % 11 <> 0").select(path, tx.content_hash(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("content_hash"))
-    return analytics.delta(stored, found)
+    """Documents against a store that knew the labelled ones, poor ones in another wording, and pages that are gone."""
+    named = lambda kind, c, end: F.concat(F.lit(f"{kind}/"), F.col(c).cast("string"), F.lit(end)).alias("path")
+    docs, quality = t.raw("documents"), t.raw("labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    before = F.when(F.col("quality") == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    stored = docs.join(quality, "doc_id").select(named("doc", "doc_id", ".md"), tx.content_hash(before).alias("content_hash"))
+    stored = stored.unionByName(t.raw("pages").select(named("page", "page_id", ".html"), tx.content_hash(F.col("html")).alias("content_hash")))
+    return analytics.delta(stored, docs.select(named("doc", "doc_id", ".md"), tx.content_hash(F.col("text")).alias("content_hash")))
 
 
 @query("SELECT page_id, target FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"#][^\"]*)\"', 1)) AS target FROM pages)")
@@ -846,7 +860,18 @@ def corpora(t: Tables) -> DataFrame:
     return analytics.corpora(files, vecs, n)
 
 
-@query()
+@query(
+    """WITH RECURSIVE n AS (SELECT CAST(n_regionkey AS VARCHAR) AS corpus, n_name AS src, n_nationkey AS k FROM nation),
+e AS (
+  SELECT a.corpus, a.src, a.corpus AS next, b.src AS dst FROM n a JOIN n b ON a.corpus = b.corpus AND b.k IN (a.k + 5, a.k + 1)
+  UNION SELECT a.corpus, a.src, b.corpus, b.src FROM n a JOIN n b ON b.k = a.k + 1 AND a.corpus <> b.corpus),
+w AS (
+  SELECT corpus, src AS node, 0 AS hops, 0 AS crossed, 0 AS inside FROM n WHERE k = 0
+  UNION SELECT e.next, e.dst, hops + 1, crossed + CAST(e.next <> e.corpus AS INTEGER), CASE WHEN e.next <> e.corpus THEN 0 ELSE inside + 1 END
+  FROM w JOIN e ON w.corpus = e.corpus AND w.node = e.src WHERE inside < 3 AND crossed + CAST(e.next <> e.corpus AS INTEGER) <= 2),
+m AS (SELECT *, min(hops) OVER (PARTITION BY corpus, node) AS least FROM w)
+SELECT corpus, node, CAST(least AS INTEGER) AS hops, CAST(min(crossed) AS INTEGER) AS crossed FROM m WHERE hops = least AND least > 0 GROUP BY corpus, node, least"""
+)
 def federated_traverse(t: Tables) -> DataFrame:
     """Corpora are regions, nodes nations; from every nation to its region's others and to the next region's."""
     n = t.raw("nation").select(F.col("n_regionkey").cast("string").alias("corpus"), F.col("n_name").alias("src"), F.col("n_nationkey").alias("k"))
