@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataq.functions.scale import broadcast_if_small
+from strataq.functions.scale import BROADCAST_ROWS, broadcast_if_small
 from strataq.functions.text import sanitize_query, tokens
 
 K1, B = 1.2, 0.75
@@ -46,16 +46,20 @@ def term_stats(index: DataFrame) -> DataFrame:
 def bm25_scores(chunks: DataFrame, queries: DataFrame, modality: str | None = None) -> DataFrame:
     """query_id, path, chunk_index, score of every chunk that holds a term of the query.
 
-    Tokens that no query has are dropped where they are read: only matches are shuffled. Field statistics are
-    over all chunks, also if ``modality`` restricts the results.
+    Tokens that no query has are dropped where they are read: only matches are shuffled, once, by chunk. Term
+    frequencies and the sums for each query then stay in that partitioning. Field statistics are over all chunks,
+    also if ``modality`` restricts the results.
     """
     wanted = broadcast_if_small(query_terms(queries))
     indexed = fields(chunks).select("*", F.size("words").alias("dl"))
     stats = indexed.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # two rows
     terms = wanted.select("term").distinct()
+    # counted: a term has two rows at most in what is broadcast
+    hint = F.broadcast if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda df: df
     exploded = indexed.select("path", "chunk_index", "field", "dl", F.explode("words").alias("term"))
-    held = exploded.join(broadcast_if_small(terms), "term").groupBy("path", "chunk_index", "field", "dl", "term").agg(F.count("*").alias("tf"))
-    df = held.groupBy("field", "term").agg(F.count("*").alias("df"))
+    met = exploded.join(hint(terms), "term").repartition("path", "chunk_index")
+    held = met.groupBy("path", "chunk_index", "field", "dl", "term").agg(F.count("*").alias("tf"))
+    df = hint(held.groupBy("field", "term").agg(F.count("*").alias("df")))
     weighted = held.join(df, ["field", "term"]).join(F.broadcast(stats), "field")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -96,7 +100,8 @@ def bm25_indexed(index: dict[str, DataFrame], queries: DataFrame, k: int = 10) -
     few = [r["term"] for r in wanted.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
     if len(few) <= PUSHED_TERMS:
         held, terms = held.filter(F.col("term").isin(few)), terms.filter(F.col("term").isin(few))
-    weighted = held.join(terms, ["term", "field"]).join(F.broadcast(index["fields"]), "field").join(wanted, "term")  # fields: two rows
+    weighted = held.join(terms, ["term", "field"]).join(F.broadcast(index["fields"]), "field")  # fields: two rows
+    weighted = weighted.repartition("path", "chunk_index").join(wanted, "term")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = weighted.groupBy("query_id", "path", "chunk_index").agg(F.sum(part).alias("score"))

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataq.functions.scale import broadcast_if_small
+from strataq.functions.scale import broadcast_if_small, cut
 
 from . import graph
 from .fusion import K, best_per, clean_path, concat_partitions, first_rank, is_code_path, ranked, rrf, union_lists
@@ -67,7 +67,8 @@ def hybrid_full(corpus: Corpus, queries: DataFrame, limit: int = 10, depth: int
     lists = {"bm25": bm25(corpus.chunks, queries, take, modality)}
     if corpus.vectors is not None and "embedding" in queries.columns:
         lists["vector"] = vector_topk(corpus.vectors, queries, take, None, modality)
-    direct = union_lists({n: df.select("query_id", "rank", "path", "chunk_index", "score") for n, df in lists.items()})
+    # read three times below, and short: a few rows a query
+    direct = cut(union_lists({n: df.select("query_id", "rank", "path", "chunk_index", "score") for n, df in lists.items()}))
     seeds = direct.filter(F.col("rank") <= SEEDS).select("query_id", "path").distinct()
     boost = _ranked_boost(graph_boost(corpus.edges, seeds, depth))
     by_path = direct.groupBy("query_id", "path").agg(
@@ -95,11 +96,11 @@ def _fast_lists(corpus: Corpus, queries: DataFrame, limit: int, modality: str |
     if corpus.prints is not None and "q0" in queries.columns:
         binary = hamming_topk(corpus.prints, queries, take, modality=modality).withColumn("path", clean_path(F.col("path")))
         lists["binary"] = binary.groupBy("query_id", "path").agg(F.min("rank").alias("rank"), F.max("score").alias("raw"))
-    seeds = union_lists(lists).groupBy("query_id", "path").agg(F.sum("raw").alias("weight"))
+    direct = cut(union_lists(lists))
+    seeds = direct.groupBy("query_id", "path").agg(F.sum("raw").alias("weight"))
     ppr = graph.personalized_pagerank(corpus.edges, seeds.select(F.col("query_id").alias("seed"), F.col("path").alias("node"), "weight"))
     spread = ranked(ppr.select(F.col("seed").alias("query_id"), F.col("node").alias("path"), "score"), take)
-    lists["ppr"] = spread.select("query_id", "path", "rank", F.col("score").alias("raw"))
-    return union_lists(lists)
+    return direct.unionByName(spread.select("query_id", "path", "rank", F.col("score").alias("raw"), F.lit("ppr").alias("source")))
 
 
 def fast(corpus: Corpus, queries: DataFrame, limit: int = 10, modality: str | None = None) -> DataFrame:
@@ -131,15 +132,16 @@ def explain(corpus: Corpus, queries: DataFrame, limit: int = 10, depth: int = 2,
     if corpus.vectors is not None and "embedding" in queries.columns:
         dense = vector_topk(corpus.vectors, queries, take, None, modality)
         lists["vector"] = dense.groupBy("query_id", "path").agg(F.min("rank").alias("rank"), F.max("score").alias("raw"))
-    seeds = union_lists(lists).filter(F.col("rank") <= SEEDS).select("query_id", "path").distinct()
+    direct = cut(union_lists(lists))
+    seeds = direct.filter(F.col("rank") <= SEEDS).select("query_id", "path").distinct()
     boost = _ranked_boost(graph_boost(corpus.edges, seeds, depth, damped=False))
-    lists["graph"] = boost.select("query_id", "path", "rank", F.col("boost").alias("raw"))
-    return _pivot(union_lists(lists), ("bm25", "vector", "graph"), limit)
+    found = boost.select("query_id", "path", "rank", F.col("boost").alias("raw"), F.lit("graph").alias("source"))
+    return _pivot(direct.unionByName(found), ("bm25", "vector", "graph"), limit)
 
 
 def graph_search(corpus: Corpus, queries: DataFrame, limit: int = 10, depth: int = 2, modality: str | None = None) -> DataFrame:
     """Nodes near the five best BM25 paths, by the sum of 1 / hops; the seeds themselves are left out."""
-    seeds = first_rank(bm25(corpus.chunks, queries, SEEDS)).select("query_id", "path")
+    seeds = cut(first_rank(bm25(corpus.chunks, queries, SEEDS)).select("query_id", "path"))
     near = graph_boost(corpus.edges, seeds, depth, damped=False).withColumnRenamed("boost", "score")
     return ranked(_path_filter(near.join(seeds, ["query_id", "path"], "left_anti"), modality), limit).select("query_id", "rank", "path", "score")
 
@@ -214,7 +216,7 @@ def multihop(corpus: Corpus, queries: DataFrame, limit: int = 10) -> DataFrame:
     split = F.udf(decompose, "array<string>")  # a query table is small and scalar; its text is all that passes
     parts = queries.select("query_id", F.posexplode(split("text")).alias("concept", "text"))
     each = parts.select(F.struct("query_id", "concept").alias("query_id"), "text")
-    found = bm25(corpus.chunks, each, 2 * limit).select("query_id.query_id", "query_id.concept", "rank", "path")
+    found = cut(bm25(corpus.chunks, each, 2 * limit).select("query_id.query_id", "query_id.concept", "rank", "path"))
     whole = bm25(corpus.chunks, queries, 2 * limit)
     top = found.filter("rank <= 3").select("query_id", "concept", "path").distinct()
     a, b = top.alias("a"), top.alias("b")
