@@ -89,7 +89,8 @@ def ring_keys(classes: DataFrame) -> DataFrame:
 
 def _forest(table: pa.Table) -> pa.Table:
     """Links of one block that join all that is linked in it: breadth first, each fingerprint reached once."""
-    left = np.unique(table.column("fp").to_numpy())
+    # unsigned: numpy counts the bits of a signed number's absolute value
+    left = np.unique(table.column("fp").to_numpy().view(np.uint64))
     a: list[np.ndarray] = []
     b: list[np.ndarray] = []
     while len(left):
@@ -101,8 +102,8 @@ def _forest(table: pa.Table) -> pa.Table:
             a.append(some[near.argmax(axis=0)[reached]])
             b.append(left[reached])
             front, left = np.concatenate([front, left[reached]]), left[~reached]
-    empty = np.empty(0, dtype=np.int64)
-    return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
+    empty = np.empty(0, dtype=np.uint64)
+    return pa.table({"a": np.concatenate([empty, *a]).view(np.int64), "b": np.concatenate([empty, *b]).view(np.int64)})
 
 
 def links(classes: DataFrame) -> DataFrame:

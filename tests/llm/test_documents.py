@@ -104,6 +104,20 @@ def test_simhash_links_in_crowds(spark, monkeypatch):
     assert len({found.get(v, v) for v in values}) == len(groups)
 
 
+def test_simhash_links_in_crowds_across_the_sign_bit(spark, monkeypatch):
+    """A large bucket joined to one more fingerprint only by a link that differs in bit 63 and two more bits."""
+    monkeypatch.setattr(simhash, "SMALL", 8)
+    low, mask = int(np.random.default_rng(3).integers(0, 1 << 62)), (1 << 64) - 1
+    plain = {low, *(low ^ 1 << b for b in (41, 42, 43, 44, 46, 47, 56, 57, 58, 59, 60, 61, 62))}  # in the segments of far's bits: all buckets are large
+    far = low ^ (1 << 63 | 1 << 40 | 1 << 45)
+    values = sorted(plain | {far})
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    edges = simhash.links(spark.createDataFrame([(v, k) for k, v in enumerate(signed)], "fp long, first_id long"))
+    assert all(((r["a"] ^ r["b"]) & mask).bit_count() <= 3 for r in edges.collect())
+    found = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    assert len({found.get(v, v) for v in signed}) == 1
+
+
 def test_components_of_chains_and_stars(spark):
     pairs = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 120)] + [(7, 7), (None, 3)]
     found = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
