@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import minhash
 from .common import settle
 
 SEGMENTS, SEGMENT_BITS, MAX_BITS = 8, 8, 3
@@ -185,6 +186,22 @@ def keep_first(docs: DataFrame) -> DataFrame:
     doc_id can't stand for a group; all of them stay.
     """
     found = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    return _of_ids(docs, found)
+
+
+def keep_alike(docs: DataFrame) -> DataFrame:
+    """As ``keep_first``, but groups are joined over pairs of texts that share four fifths of their five-word
+    shingles (``minhash``), whatever their fingerprints. Texts without words form one group.
+    """
+    prints = settle(minhash.signatures(docs))
+    member = components(minhash.links(docs, prints)).withColumnRenamed("node", "key")
+    first = prints.groupBy("key").agg(F.min("doc_id").alias("first_id")).join(member, "key", "left")
+    found = first.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first_id").alias("_kept"))
+    return _of_ids(docs, found.select("_kept").distinct())
+
+
+def _of_ids(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each doc_id in ``found`` (_kept), and all rows without doc_id."""
     kept = docs.join(found, docs["doc_id"] == found["_kept"], "left_semi")
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
     one = kept.groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.xxhash64("text")).alias("_row"))

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from strataq.llm import decontaminate, license, mix, quality, queries, shard, simhash, tokens, toxicity
+from strataq.llm import decontaminate, license, minhash, mix, quality, queries, shard, simhash, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, _kept long"
 A = "the quick brown fox jumps over the lazy dog and then it runs through the forest until night comes down slowly"
@@ -134,6 +134,45 @@ def test_keep_first_keeps_one_of_each_group(docs):
     assert {i for i in ids if i > 0} == {c for c in components if c}
 
 
+def jaccard_groups(rows: list[tuple[int, str]]) -> set[int]:
+    """The least id of each group joined over five-word Jaccard >= 0.8, by comparing all pairs."""
+    sets = []
+    for _, text in rows:
+        w = text.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = {d: d for d, _ in rows}
+
+    def find(d: int) -> int:
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for i, (d, _) in enumerate(rows):
+        for j in range(i):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                a, b = sorted((find(d), find(rows[j][0])))
+                root[b] = a
+    return {find(d) for d, _ in rows}
+
+
+@pytest.mark.parametrize("small", [32, 4])
+def test_keep_alike_links_at_four_fifths(spark, monkeypatch, small):
+    """Copies with words changed, in pairs, chains and a crowd: what stays is what brute force keeps."""
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "BLOCK", 1200)
+    draw = np.random.default_rng(6)
+    rows = []
+    for copies in (12, *[3] * 12):
+        base = [f"w{k}" for k in draw.integers(0, 4000, 90)]
+        for _ in range(copies):
+            words = list(base)
+            for at in draw.integers(0, 90, draw.integers(0, 4)):
+                words[at] = f"x{draw.integers(0, 10**6)}"
+            rows.append((len(rows) + 1, " ".join(words)))
+    docs = spark.createDataFrame([(d, t, "en", "s", 1, None, None) for d, t in rows], SCHEMA).repartition(3)
+    assert {r["doc_id"] for r in simhash.keep_alike(docs).collect()} == jaccard_groups(rows)
+
+
 def test_mix_matches_sql_and_targets(spark, docs, tmp_path):
     docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     con = duckdb.connect()
