@@ -186,24 +186,28 @@ def keep_first(docs: DataFrame) -> DataFrame:
     doc_id can't stand for a group; all of them stay.
     """
     found = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return _of_ids(docs, found)
+    kept = docs.join(found, docs["doc_id"] == found["_kept"], "left_semi")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
+    one = kept.groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.xxhash64("text")).alias("_row"))
+    one = one.select("doc_id", "_row.*").select(*[f"`{c}`" for c in docs.columns])
+    return one.union(docs.filter("doc_id is null"))
 
 
 def keep_alike(docs: DataFrame) -> DataFrame:
-    """As ``keep_first``, but groups are joined over pairs of texts that share four fifths of their five-word
-    shingles (``minhash``), whatever their fingerprints. Texts without words form one group.
+    """``docs`` with one row of each group of texts joined over pairs that share four fifths of their five-word
+    shingles (``minhash``): of the rows with the group's least doc_id, that of the least text key.
+
+    Texts without words form one group. Rows that share a doc_id stay apart if their texts are of different
+    groups, so that no group goes with another's. Rows without doc_id can't stand for a group; all of them stay.
     """
     prints = settle(minhash.signatures(docs))
     member = components(minhash.links(docs, prints)).withColumnRenamed("node", "key")
-    first = prints.groupBy("key").agg(F.min("doc_id").alias("first_id")).join(member, "key", "left")
-    found = first.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first_id").alias("_kept"))
-    return _of_ids(docs, found.select("_kept").distinct())
-
-
-def _of_ids(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each doc_id in ``found`` (_kept), and all rows without doc_id."""
-    kept = docs.join(found, docs["doc_id"] == found["_kept"], "left_semi")
+    first = prints.filter("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("first_id")).join(member, "key", "left")
+    found = first.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min(F.struct("first_id", "key")).alias("_kept")).select("_kept.*")
+    key = minhash.text_key(F.col("text").cast("string"))
+    keyed = docs.withColumn("_text_key", key)
+    kept = keyed.join(found, (keyed["doc_id"] == found["first_id"]) & (keyed["_text_key"] == found["key"]), "left_semi")
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
-    one = kept.groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.xxhash64("text")).alias("_row"))
+    one = kept.groupBy("doc_id", "_text_key").agg(F.min_by(F.struct(*rest), F.xxhash64("text")).alias("_row"))
     one = one.select("doc_id", "_row.*").select(*[f"`{c}`" for c in docs.columns])
     return one.union(docs.filter("doc_id is null"))

@@ -173,6 +173,14 @@ def test_keep_alike_links_at_four_fifths(spark, monkeypatch, small):
     assert {r["doc_id"] for r in simhash.keep_alike(docs).collect()} == jaccard_groups(rows)
 
 
+def test_keep_alike_leaves_a_row_of_each_group(spark):
+    """doc_id 5 has two texts; the second one's group, doc_id 7 with it, must not go with the first."""
+    x, y = " ".join(f"x{k}" for k in range(30)), " ".join(f"y{k}" for k in range(30))
+    rows = [(5, x), (5, y), (5, y), (6, x), (7, y), (8, ""), (9, " "), (9, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1, None, None) for d, t in rows], SCHEMA).repartition(3)
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_alike(docs).collect()) == [(5, x), (5, y), (8, "")]
+
+
 def test_mix_matches_sql_and_targets(spark, docs, tmp_path):
     docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     con = duckdb.connect()
