@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,11 +17,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; where none is set (tests, one machine) a temporary one."""
+    """The shared folder of the session; where none is set, a temporary one on a local master, else an error."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="strataq-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -39,6 +42,33 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     return cond
 
 
+#: Keys with more than one in SPREAD of all rows go another way than the rest; there are at most SPREAD of them.
+SPREAD = 4096
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str, copies: str) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has a row for each key and in ``copies`` how many rows have it.
+
+    Keys with a large share of the rows would fill a task each: they are looked up in a broadcast of fewer than
+    SPREAD rows, whatever the input. The others are shuffled. ``table`` is read three times, so settle it.
+    """
+    limit = (table.agg(F.sum(copies)).first()[0] or 0) // SPREAD  # one number
+    hot = table.filter(F.col(copies) > limit)
+    frequent = rows.join(F.broadcast(hot), key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.filter(F.col(copies) <= limit), key)
+    return frequent.unionByName(others)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with columns _c0, _c1, ..: names that clash with none made here."""
+    return docs.toDF(*[f"_c{k}" for k in range(len(docs.columns))])
+
+
+def renamed(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``numbered(docs)`` in ``df`` under their own names."""
+    return df.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
 def running_sum(df: DataFrame, order: list[str], value: str, out: str, by: list[str] | None = None) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over all rows before this one, in ``order``, within ``by``.
 

@@ -18,10 +18,12 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -31,10 +33,10 @@ from .common import settle
 
 MAGIC = b"DAC1"
 SEGMENT, RANK_BITS = 1 << 20, 512
-#: Entries of a worker's cache of encoded words; it starts anew when full, so a worker's memory is bounded.
+#: Entries of a worker's table of encoded words; it starts anew when full, so a worker's memory is bounded.
 CACHE = 500_000
-#: New words encoded at a time.
-CHUNK = 20_000
+#: Bytes of text encoded at a time; a longer text goes alone.
+CHUNK = 4 << 20
 
 # --- codes -------------------------------------------------------------------------------------------------
 
@@ -102,8 +104,10 @@ class Writer:
         self.offsets: list[int] = []
         self.docs: list[tuple[int, int, int]] = []
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id or 0, doc_id is None, self.n))
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, count: np.ndarray) -> None:
+        """The ids of some documents, one after another, and how many each has."""
+        for doc_id, at in zip(doc_ids, (self.n + np.cumsum(count) - count).tolist(), strict=True):
+            self.docs.append((doc_id or 0, doc_id is None, at))
         self.n += len(ids)
         self.held.append(ids)
         self.size += len(ids)
@@ -166,8 +170,9 @@ class Reader:
 
 # --- encoding ----------------------------------------------------------------------------------------------
 
-_ODD_SPACE = re.compile(r"[^\S \n\r\t]")
-_RUN_SIGNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
+#: White space other than space, tab and line breaks.
+_ODD_SPACE = r"\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_ODD = re.compile(f"[{re.sub(r'x{(\w+)}', lambda m: f'u{m[1]:0>4}', _ODD_SPACE)}]")
 _RUNS = re.compile(r"(\s+)")
 _TAIL = ".,!?|$%&*#;:"
 #: Byte-level BPE writes each byte as a character: printable ones as they are, the others from 256 on, in order.
@@ -175,9 +180,10 @@ _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: chr(b) if b in _PRINTABLE else chr(256 + sum(x not in _PRINTABLE for x in range(b))) for b in range(256)}
 
 
-def _odd(text: str) -> bool:
-    """White space other than space, tab and line breaks."""
-    return any(c in text for c in "\x0b\x0c\x1c\x1d\x1e\x1f") if text.isascii() else _ODD_SPACE.search(text) is not None
+def _gather(table: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The stretches of ``table`` that begin where said, one after another."""
+    ends = np.cumsum(count)
+    return table[np.repeat(begin - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class Encoder:
@@ -185,8 +191,9 @@ class Encoder:
 
     The pre-tokenizer never joins what a single space or line break parts: a space leads the word after it, a
     line break stands alone. So the ids of a text are those of its words, each with what stands before it.
-    Texts with runs of white space are cut at the runs, as the pre-tokenizer cuts them. Those with other white
-    space than space, tab and line breaks, or with an added token in them, go to the library whole.
+    Words are told apart by Arrow and their ids gathered from one table by numpy. Texts with runs of white space
+    are cut at the runs, as the pre-tokenizer cuts them. Those with other white space than space, tab and line
+    breaks, or with an added token in them, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -196,58 +203,60 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         settings = json.loads(self.tokenizer.to_str())
         before = settings["pre_tokenizer"] or {}
-        #: Whether texts may be cut into words; other tokenizers get every text whole.
-        self.by_word = not settings["normalizer"] and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
         self.model = self.tokenizer.model
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        #: Ids of words after a space or, with a line break before them, after that; the same without the
-        #: punctuation behind; and of pieces as they are.
-        self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.codes = [struct.pack("<I", k) for k in range(self.tokenizer.get_vocab_size())]
-
-    def _library(self, texts: list[str]) -> list[bytes]:
+        self.pieces: dict[str, np.ndarray] = {}
+        self._forget()
+        #: Whether texts may be cut into words; other tokenizers get every text whole.
+        self.by_word = not settings["normalizer"] and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
+        self.by_word = self.by_word and len(self._library(["\n"])[0]) == 1
+        #: Texts that can't be cut at each space and line break.
+        self.special = "|".join([f"[{_ODD_SPACE}\\t\\r]|[ \\n][ \\n]", *map(re.escape, self.added)])
+
+    def _forget(self) -> None:
+        """An empty table: a core's row (cores lead with a line break if one stands before them, else they
+        follow a space), where its ids begin, how many they are, and all ids."""
+        self.rows: dict[str, int] = {}
+        self.begin, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.table = np.empty(0, "<u4")
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
-
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) > CACHE:
-                self.pieces = {}
-            ids = self.pieces[piece] = self._library([piece])[0] if piece else b""
-        return ids
-
-    def _core(self, core: str) -> bytes:
-        space, lead = " ", b""
-        if core[:1] == "\n":
-            space, lead, core = "", self._piece("\n"), core[1:]
-        if not core.isalpha():
-            return lead + self._piece(space + core)
-        # letters, and a space before them, are one pre-token, which goes to the library's model at once
-        body = core if core.isascii() else core.encode().decode("latin-1").translate(_BYTES)
-        codes = self.codes
-        return lead + b"".join([codes[t.id] for t in self.model.tokenize(f"\u0120{body}" if space else body)])
-
-    def _learn(self, words: set[str]) -> None:
-        """Words with punctuation behind letters are two parts, which other words share."""
-        cores, known = self.cores, self.words
-        if len(cores) > CACHE:
-            cores.clear()
-        for w in words:
-            core = w.rstrip(_TAIL)
-            if not core or not core[-1].isalpha() or core == w:
-                core, tail = w, b""
+        return [np.array(x.ids, dtype="<u4") for x in found]
+
+    def _of_pieces(self, pieces: list[str]) -> list[np.ndarray]:
+        """Ids of pieces as they are; new ones go to the library together."""
+        if len(self.pieces) > CACHE:
+            self.pieces = {}
+        new = [*dict.fromkeys(p for p in pieces if p not in self.pieces)]
+        self.pieces.update(zip(new, self._library(new), strict=True))
+        return [self.pieces[p] for p in pieces]
+
+    def _learn(self, cores: list[str]) -> None:
+        """Adds cores to the table. Letters, and a space before them, are one pre-token, which goes to the
+        library's model at once; the others go to the library together."""
+        tokenize, ids, others = self.model.tokenize, [], []
+        line = self._of_pieces(["\n"])[0].tolist()
+        for core in cores:
+            lead = core[:1] == "\n"
+            body = core[1:] if lead else core
+            if body.isalpha():
+                body = body if body.isascii() else body.encode().decode("latin-1").translate(_BYTES)
+                found = [t.id for t in tokenize(body if lead else f"\u0120{body}")]
+                ids.append(line + found if lead else found)
             else:
-                tail = self._piece(w[len(core) :])
-            ids = cores.get(core)
-            if ids is None:
-                ids = cores[core] = self._core(core)
-            known[w] = ids + tail
-
-    def _runs(self, text: str) -> bytes:
-        """A text with runs of white space: all but a run's last character stand together before a word."""
+                others.append((len(ids), lead, body if lead else f" {body}"))
+                ids.append([])
+        for (k, lead, _), found in zip(others, self._of_pieces([x[2] for x in others]), strict=True):
+            ids[k] = line + found.tolist() if lead else found.tolist()
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.rows.update(zip(cores, range(len(self.rows), len(self.rows) + len(cores)), strict=True))
+        self.begin = np.concatenate([self.begin, len(self.table) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.table = np.concatenate([self.table, np.fromiter(chain.from_iterable(ids), "<u4", int(count.sum()))])
+
+    def _runs(self, text: str) -> list[str]:
+        """The pieces of a text with runs of white space: all but a run's last character stand together before a word."""
         pieces, parts, space = [], _RUNS.split(text), ""
         for k, part in enumerate(parts):
             if k % 2 == 0:
@@ -261,38 +270,75 @@ class Encoder:
                     space = " "
                 else:
                     pieces.append(part[-1])
-        return b"".join(map(self._piece, pieces))
+        return pieces
+
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words and how many each has. Punctuation behind letters is a pre-token of its own,
+        so it is cut off: what is left is shared by more words."""
+        short = pc.ascii_rtrim(words, characters=_TAIL)
+        cut = pc.and_(pc.not_equal(short, words), pc.utf8_is_alpha(pc.utf8_slice_codeunits(short, -1)))
+        cores = pc.if_else(cut, short, words).dictionary_encode()
+        tails = pc.extract_regex(words.filter(cut), f"(?P<tail>[{_TAIL}]+)$").field("tail").dictionary_encode()
+        each = cores.dictionary.to_numpy(zero_copy_only=False).tolist()  # quicker than to_pylist
+        if len(self.rows) > CACHE:
+            self._forget()
+        new = [c for c in each if c not in self.rows]
+        if new:
+            self._learn(new)
+        rows = np.fromiter(map(self.rows.__getitem__, each), np.int64, len(each))[cores.indices.to_numpy()]
+        found = self._of_pieces(tails.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        own, which = cut.to_numpy(zero_copy_only=False), tails.indices.to_numpy()
+        begin, count = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
+        begin[:, 0], count[:, 0] = self.begin[rows], self.count[rows]
+        begin[own, 1], count[own, 1] = (len(self.table) + np.cumsum(sizes) - sizes)[which], sizes[which]
+        return _gather(np.concatenate([self.table, *found]), begin.ravel(), count.ravel()), count.sum(axis=1)
+
+    def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without special ones among them, and how many each has."""
+        split = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), ""), " ")
+        coded = split.flatten().dictionary_encode()
+        table, count = self._of_words(coded.dictionary)
+        begin, at = np.cumsum(count) - count, coded.indices.to_numpy()
+        begin, count = begin[at], count[at]
+        first = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
+        begin[first] += 1  # without the line break that was put before the first word
+        count[first] -= 1
+        return _gather(table, begin, count), np.add.reduceat(count, first)
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts (uint32), one after another, and how many each text has."""
+        texts = pc.fill_null(texts, "")
+        if not len(texts):
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        special = np.ones(len(texts), dtype=bool)
+        if self.by_word:
+            special = pc.match_substring_regex(texts, self.special).to_numpy(zero_copy_only=False)
+        ids, count = np.empty(0, "<u4"), np.zeros(len(texts), dtype=np.int64)
+        if not special.all():
+            ids, count[~special] = self._words(texts.filter(pa.array(~special)) if special.any() else texts)
+        if not special.any():
+            return ids, count
+        at, own = np.flatnonzero(special), texts.filter(pa.array(special)).to_pylist()
+        found: list[np.ndarray | None] = [None] * len(own)
+        whole = []
+        for k, text in enumerate(own):
+            if not self.by_word or _ODD.search(text) or any(a in text for a in self.added):
+                whole.append(k)
+            else:
+                found[k] = np.concatenate(self._of_pieces(self._runs(text)))
+        for k, x in zip(whole, self._library([own[k] for k in whole]), strict=True):
+            found[k] = x
+        count[at] = [len(x) for x in found]
+        out = np.empty(count.sum(), "<u4")
+        here = np.repeat(special, count)
+        out[~here], out[here] = ids, np.concatenate(found)
+        return out, count
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32."""
-        out: list[bytes | None] = [None] * len(texts)
-        whole = []
-        again: list[tuple[int, list[str]]] = []
-        new: set[str] = set()
-        get = self.words.get
-        for i, text in enumerate(texts):
-            if not self.by_word or _odd(text) or any(a in text for a in self.added):
-                whole.append(i)
-            elif any(pair in text for pair in _RUN_SIGNS):
-                out[i] = self._runs(text)
-            elif text:
-                words = ("\n" + text).replace("\n", " \n")[1:].split(" ")
-                found = [*map(get, words)]
-                if None in found:
-                    new.update(w for w, v in zip(words, found, strict=True) if v is None)
-                    again.append((i, words))
-                else:
-                    out[i] = b"".join(found)[4:]  # without the line break that was put before the first word
-            if len(new) >= CHUNK or i == len(texts) - 1:
-                self._learn(new)
-                for j, words in again:
-                    out[j] = b"".join(map(self.words.__getitem__, words))[4:]
-                again, new = [], set()
-                if len(self.words) > CACHE:
-                    self.words.clear()
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return [x or b"" for x in out]
+        ids, count = self.encode_batch(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(count)[:-1])] if texts else []
 
 
 _encoders: dict[str, Encoder] = {}
@@ -308,23 +354,43 @@ def encoder(path: str) -> Encoder:
 # --- files -------------------------------------------------------------------------------------------------
 
 
+#: Hadoop's names of stores, and the names of the same stores here.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfss", "abfss": "abfss"}
+
+
 def filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
-    if folder.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + folder[5:].lstrip("/")
-    return (pafs.LocalFileSystem(), folder) if "://" not in folder else pafs.FileSystem.from_uri(folder)
+    """The store of a shared folder as workers open it, and the path there. hdfs and viewfs go through Hadoop's library."""
+    scheme, _, rest = folder.partition(":")
+    if scheme == "file" or "://" not in folder:
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/") if scheme == "file" else folder
+    if scheme in SCHEMES:
+        return pafs.FileSystem.from_uri(f"{SCHEMES[scheme]}:{rest}")
+    host, _, path = rest.removeprefix("//").partition("/")
+    return pafs.HadoopFileSystem(f"{scheme}://{host}" if host else "default"), f"/{path}"
+
+
+def pieces_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about CHUNK bytes of text, the second column."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")) - at)
+        yield batch.slice(at, n)
+        at += n
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> DataFrame:
     """Writes the ids of all documents to ``folder``, in ascending doc_id order over part-00000.dac, .. ; returns
     (part, n_tokens) of the files. A file is written under another name and then moved, so a task that is run
-    again replaces its file and never leaves half of one."""
+    again replaces its file and never leaves half of one. Ranges are cut by doc_id and text, so a doc_id of many
+    rows (or none) is spread over several files."""
     dealt = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    dealt = dealt.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    order = ["doc_id", F.xxhash64("text")]
+    dealt = dealt.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, writer = TaskContext.get().partitionId(), None
         fs, root = filesystem(folder)
-        end = np.array([end_id], dtype="<u4").tobytes()
         name, temporary = f"{root}/part-{part:05d}.dac", f"{root}/.{uuid.uuid4().hex}"
         stream = None
         for batch in batches:
@@ -332,10 +398,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> D
                 fs.create_dir(root, recursive=True)
                 stream = fs.open_output_stream(temporary)
                 writer = Writer(stream)
-            for at in range(0, batch.num_rows, 512):
-                ids, texts = batch.column(0).slice(at, 512).to_pylist(), batch.column(1).slice(at, 512).to_pylist()
-                for doc_id, codes in zip(ids, encoder(tokenizer).encode(texts), strict=True):
-                    writer.add(doc_id, np.frombuffer(codes + end, dtype="<u4"))
+            for some in pieces_of(batch):
+                ids, count = encoder(tokenizer).encode_batch(some.column(1))
+                ends = np.cumsum(count + 1) - 1
+                out = np.full(len(ids) + len(count), end_id, dtype="<u4")
+                own = np.ones(len(out), dtype=bool)
+                own[ends] = False
+                out[own] = ids
+                writer.add(some.column(0).to_pylist(), out, count + 1)
         if writer is not None:
             writer.close()
             stream.close()
@@ -348,7 +418,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> D
 def read_tokens(parts: DataFrame, folder: str) -> DataFrame:
     """From the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32; a task for each file."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("offset"))  # a row for each file
+    offsets = settle(parts.select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("offset")))  # a row for each file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
@@ -359,7 +429,7 @@ def read_tokens(parts: DataFrame, folder: str) -> DataFrame:
                 columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = settle(offsets).repartition(F.col("part"))
+    spread = offsets.repartitionByRange(max(1, offsets.count()), "part")  # a number given, which is not reduced again
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
