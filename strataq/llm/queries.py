@@ -130,7 +130,7 @@ WITH d AS (
   FROM documents),
 i AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark),
+  FROM benchmark WHERE item_id IS NOT NULL),
 iw AS (
   SELECT DISTINCT item_id, least(len(w), 8) AS n, array_to_string(w[s:s + least(len(w), 8) - 1], ' ') AS g
   FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 8) + 2)) AS s FROM i WHERE len(w) > 0)),
@@ -150,27 +150,36 @@ FROM d LEFT JOIN a ON d.k = a.k AND d.doc_id IS NOT DISTINCT FROM a.doc_id LEFT
 
 
 def _op6_sql() -> str:
+    """All stretches from each bigram of a template to each other; threshold and bounds written out: 0.8, 2/3, 3/2."""
     rows = ", ".join("({}, '{}', '{}')".format(k, name, notice.replace("'", "''")) for k, (name, notice) in enumerate(license.TEMPLATES))
-    whole = license.WHOLE * max(len(notice) for _, notice in license.TEMPLATES)
-    words = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')".replace("\\\\", "\\")
-    grams = "CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END"
+    words = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+    grams = "CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END"
     return f"""
 WITH t AS (SELECT k, name, {grams} AS g FROM (SELECT k, name, {words.format("notice")} AS w FROM (VALUES {rows}) v(k, name, notice))),
-d AS (SELECT doc_id, md5(coalesce(text, '')) AS h, coalesce(text, '') AS text FROM documents),
-u AS (
-  SELECT doc_id, h, unnest(range(len(string_split(text, chr(10))))) AS unit, unnest(string_split(text, chr(10))) AS said FROM d
-  UNION ALL SELECT doc_id, h, -1, text FROM d WHERE len(string_split(text, chr(10))) > 1 AND length(text) <= {whole}),
-g AS (SELECT DISTINCT doc_id, h, unit, {grams} AS g FROM (SELECT doc_id, h, unit, {words.format("said")} AS w FROM u)),
-e AS (SELECT doc_id, h, unit, len(g) AS a, unnest(g) AS gram FROM g WHERE len(g) <= (SELECT max(len(g)) FROM t) * 1.5),
-x AS (SELECT k, name, len(g) AS b, unnest(g) AS gram FROM t),
-s AS (SELECT doc_id, h, unit, a, k, name, b, 2.0 * count(*) / (a + b) AS dice FROM e JOIN x USING (gram) GROUP BY doc_id, h, unit, a, k, name, b),
-m AS (SELECT doc_id, h, unit, name, max(dice) AS dice FROM s WHERE dice >= {license.THRESHOLD} GROUP BY doc_id, h, unit, name),
-r AS (
-  SELECT doc_id, h, count(*) AS n, max(dice) AS best, list_sort(list(DISTINCT name)) AS names FROM m GROUP BY doc_id, h),
-f AS (SELECT r.doc_id, r.h, r.n, r.best, array_to_string(r.names, ',') AS names, min(m.name) AS name
-      FROM r JOIN m ON r.h = m.h AND r.doc_id IS NOT DISTINCT FROM m.doc_id AND m.dice = r.best GROUP BY ALL)
-SELECT d.doc_id, f.name AS license, CAST(f.best AS DOUBLE) AS score, CAST(coalesce(f.n, 0) AS BIGINT) AS n_matches, f.names AS licenses
-FROM d LEFT JOIN f ON d.h = f.h AND d.doc_id IS NOT DISTINCT FROM f.doc_id
+x AS (SELECT k, name, b, gram, count(*) AS times FROM (SELECT k, name, len(g) AS b, unnest(g) AS gram FROM t) GROUP BY ALL),
+d AS (SELECT DISTINCT doc_id, md5(coalesce(text, '')) AS h, coalesce(text, '') AS text FROM documents),
+e AS (SELECT doc_id, h, unnest(g) AS gram, unnest(range(len(g))) AS pos FROM (SELECT doc_id, h, {grams} AS g FROM (SELECT doc_id, h, {words.format("text")} AS w FROM d))),
+m AS (
+  SELECT doc_id, h, k, name, b, pos, times, gram, row_number() OVER (PARTITION BY doc_id, h, k, gram ORDER BY pos) AS r FROM e JOIN x USING (gram)
+  QUALIFY count(*) OVER (PARTITION BY doc_id, h, k) * 3 >= 2 * b),
+p AS (
+  SELECT m.*, coalesce(o.pos, -1) AS before FROM m
+  LEFT JOIN m o ON m.doc_id IS NOT DISTINCT FROM o.doc_id AND m.h = o.h AND m.k = o.k AND m.gram = o.gram AND o.r = m.r - m.times),
+c AS (
+  SELECT s.doc_id, s.h, s.k, s.name, s.b, s.pos AS first, q.pos AS last,
+         sum(CASE WHEN q.before < s.pos THEN 1 ELSE 0 END) OVER (PARTITION BY s.doc_id, s.h, s.k, s.pos ORDER BY q.pos) AS m
+  FROM p s JOIN p q ON s.doc_id IS NOT DISTINCT FROM q.doc_id AND s.h = q.h AND s.k = q.k AND q.pos >= s.pos AND 2 * (q.pos - s.pos) < 3 * s.b),
+f AS (
+  SELECT doc_id, h, name, 2.0 * m / (last - first + 1 + b) AS dice, first, last FROM c WHERE 2.0 * m / (last - first + 1 + b) >= 0.8
+  QUALIFY row_number() OVER (PARTITION BY doc_id, h, name ORDER BY dice DESC, first, last DESC) = 1),
+v AS (
+  SELECT * FROM f x WHERE NOT EXISTS (
+    SELECT 1 FROM f y WHERE y.doc_id IS NOT DISTINCT FROM x.doc_id AND y.h = x.h AND y.dice > x.dice AND y.first <= x.last AND x.first <= y.last)),
+o AS (
+  SELECT doc_id, h, first(name ORDER BY dice DESC, name) AS name, max(dice) AS best, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names
+  FROM v GROUP BY doc_id, h)
+SELECT a.doc_id, o.name AS license, CAST(o.best AS DOUBLE) AS score, CAST(coalesce(o.n, 0) AS BIGINT) AS n_matches, o.names AS licenses
+FROM documents a LEFT JOIN o ON md5(coalesce(a.text, '')) = o.h AND a.doc_id IS NOT DISTINCT FROM o.doc_id
 """
 
 
