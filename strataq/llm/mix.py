@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, running_sum, settle
+from .common import WORD, numbered, renamed, running_sum, settle
 
 #: Weights of the sources in code point order, repeating; times that a source may be read.
 WEIGHTS, REPEATS = (1, 2, 3), 3
@@ -91,11 +91,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
 def resample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """``docs`` as the mix takes them: a row repeats as often as it is taken; documents without words go.
 
-    Rows that share doc_id and text repeat one document and share its answer, the largest of theirs.
+    Rows that share doc_id and text repeat one document and share its answer, the largest of theirs. Nulls, empty
+    tables and empty texts as in ``mix``; other columns are kept, whatever their names.
     """
-    taken = mix(docs, weights).filter("times > 0").groupBy("doc_id", "text_key").agg(F.max("times").alias("_times"))
-    taken = taken.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
-    key = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]) & (key == taken["_key"]))
-    again = joined.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return again.select(*[docs[c] for c in docs.columns])
+    taken = mix(docs, weights).filter("times > 0").groupBy("doc_id", "text_key").agg(F.max("times").alias("times"))
+    own = numbered(docs)
+    place = {c: F.col(f"_c{k}") for k, c in enumerate(docs.columns)}
+    key = F.md5(F.coalesce(place["text"].cast("string"), F.lit("")))
+    joined = own.join(taken, place["doc_id"].cast("long").eqNullSafe(taken["doc_id"]) & (key == taken["text_key"]))
+    return renamed(joined.withColumn("again", F.explode(F.sequence(F.lit(1), "times"))), docs)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_sum, settle
+from .common import join_spread, running_sum, settle
 
 SHARDS, ROUNDS = 8, 6
 
@@ -45,11 +45,11 @@ def propagate(linked: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> Dat
     for turn in range(1, rounds + 1):
         counts = state.groupBy("group", "shard").agg(F.count("*").alias("n"))
         rank = F.when(~F.col("shard").isin(full) if full else F.lit(True), F.struct("n", F.xxhash64("group", "shard").alias("tie"), "shard"))
-        best = counts.groupBy("group").agg(F.max(rank)["shard"].alias("best"), F.sum("n").alias("copies"))
+        best = settle(counts.groupBy("group").agg(F.max(rank)["shard"].alias("best"), F.sum("n").alias("copies")))
         held_back = F.col("shard").isin(full) & (F.col("copies") > small) if full else F.lit(False)
         goal = F.when(F.col("best").isNull() | held_back, F.col("shard")).otherwise(F.col("best"))
         chance = F.when(F.col("copies") > small, _draw(turn, "row_id")).otherwise(_draw(turn, "group"))
-        asked = settle(state.join(best, "group").select("row_id", "group", "shard", goal.alias("goal"), chance.alias("chance")))
+        asked = settle(join_spread(state, best, "group", "copies").select("row_id", "group", "shard", goal.alias("goal"), chance.alias("chance")))
         flow = {(r["shard"], r["goal"]): r["n"] for r in asked.groupBy("shard", "goal").agg(F.count("*").alias("n")).collect()}
         held = [sum(k for (a, _), k in flow.items() if a == s) for s in range(n)]
         want = {ab: k for ab, k in flow.items() if ab[0] != ab[1]}
@@ -85,8 +85,8 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     numbered = settle(running_sum(one, ["group", "doc_id"], "one", "row_id").drop("one"))
     total = numbered.count()
     quotas = [total // shards + (s < total % shards) for s in range(shards)]
-    many = numbered.groupBy("group").agg(F.count("*").alias("copies")).filter("copies > 1")
-    state = propagate(numbered.join(many, "group").select("row_id", "group"), quotas)
+    many = settle(numbered.groupBy("group").agg(F.count("*").alias("copies")).filter("copies > 1"))
+    state = propagate(join_spread(numbered, many, "group", "copies").select("row_id", "group"), quotas)
     held = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     room = [max(0, quotas[s] - held.get(s, 0)) for s in range(shards)]
     shares = [(r / sum(room), s) for s, r in enumerate(room) if r]

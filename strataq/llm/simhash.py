@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import settle
+from .common import join_spread, numbered, renamed, settle
 
 SEGMENTS, SEGMENT_BITS, MAX_BITS = 8, 8, 3
 #: Bits two fingerprints may differ in over a chain of 1, 2, .. segments.
@@ -168,29 +168,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     text and counts for no component_id. An empty table gives an empty result; other columns are ignored.
     """
     prints = settle(fingerprints(docs))
-    classes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    classes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
     edges = settle(links(classes))
     degree = edges.select(F.col("a").alias("fp")).union(edges.select("b")).groupBy("fp").agg(F.count("*").alias("n_links"))
     member = components(edges)
     reps = member.join(classes.withColumnRenamed("fp", "node"), "node")
     least = reps.groupBy("root").agg(F.min("first_id").alias("least_id"))
     linked = member.join(least, "root").select(F.col("node").alias("fp"), "least_id").join(degree, "fp", "left")
-    named = classes.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    named = settle(classes.join(linked, "fp", "left").select("fp", "copies", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    return join_spread(prints, named, "fp", "copies").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: that whose doc_id names the group.
-
-    Rows that share a doc_id are one document: the first of them stays, by the hash of the text. Rows without
-    doc_id can't stand for a group; all of them stay.
-    """
-    found = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(found, docs["doc_id"] == found["_kept"], "left_semi")
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
-    one = kept.groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.xxhash64("text")).alias("_row"))
-    one = one.select("doc_id", "_row.*").select(*[f"`{c}`" for c in docs.columns])
-    return one.union(docs.filter("doc_id is null"))
+def _one_of_each(docs: DataFrame, found: DataFrame, key: Column) -> DataFrame:
+    """Of the rows of ``docs`` that ``found`` (first_id, key) names by doc_id and ``key``, one each: the first by the
+    hash of the text. Rows without doc_id all stay."""
+    own = numbered(docs)
+    place = {c: F.col(f"_c{k}") for k, c in enumerate(docs.columns)}
+    keyed = own.select("*", place["doc_id"].cast("long").alias("first_id"), key.alias("key"), F.xxhash64(place["text"]).alias("order"))
+    kept = keyed.join(found, ["first_id", "key"], "left_semi")
+    one = kept.groupBy("first_id", "key").agg(F.min_by(F.struct(*own.columns), "order").alias("row")).select("row.*")
+    return renamed(one.union(own.filter(place["doc_id"].isNull())), docs)
 
 
 def keep_alike(docs: DataFrame) -> DataFrame:
@@ -203,11 +200,5 @@ def keep_alike(docs: DataFrame) -> DataFrame:
     prints = settle(minhash.signatures(docs))
     member = components(minhash.links(docs, prints)).withColumnRenamed("node", "key")
     first = prints.filter("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("first_id")).join(member, "key", "left")
-    found = first.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min(F.struct("first_id", "key")).alias("_kept")).select("_kept.*")
-    key = minhash.text_key(F.col("text").cast("string"))
-    keyed = docs.withColumn("_text_key", key)
-    kept = keyed.join(found, (keyed["doc_id"] == found["first_id"]) & (keyed["_text_key"] == found["key"]), "left_semi")
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
-    one = kept.groupBy("doc_id", "_text_key").agg(F.min_by(F.struct(*rest), F.xxhash64("text")).alias("_row"))
-    one = one.select("doc_id", "_row.*").select(*[f"`{c}`" for c in docs.columns])
-    return one.union(docs.filter("doc_id is null"))
+    found = first.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min(F.struct("first_id", "key")).alias("kept")).select("kept.*")
+    return _one_of_each(docs, found, minhash.text_key(F.col(f"_c{docs.columns.index('text')}").cast("string")))
