@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import same, settle
+from .common import numbered, renamed, same, settle
 
 WINDOW, K = 8, 5
 STRIDE = WINDOW - K + 1
@@ -146,7 +146,7 @@ def candidates(docs: DataFrame, bitmap: np.ndarray, widths: list[int]) -> DataFr
 
 
 def spans(shared: DataFrame) -> DataFrame:
-    """(doc_id, text_key, item_id, start, width) of the windows that occur, from joined fingerprints.
+    """(doc_id, text_key, start, width, items) of the windows that occur, from joined fingerprints.
 
     Extends a hit to each window around it that both contexts hold in full, and compares their words.
     """
@@ -164,24 +164,29 @@ def spans(shared: DataFrame) -> DataFrame:
     found = F.when(F.col("width") == WINDOW, F.transform(offsets, lambda at: F.col("pos") + at - (STRIDE - 1))).otherwise(
         F.when(F.col("d_context") == F.col("i_context"), F.array("pos")).otherwise(F.array().cast("array<int>"))
     )
-    return split.select("doc_id", "text_key", "item_id", "width", F.explode(found).alias("start")).distinct()
+    each = split.select("doc_id", "text_key", "width", F.explode(found).alias("start"), "items")
+    return each.groupBy("doc_id", "text_key", "width", "start").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row for each row of ``docs``: doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated, n_full.
 
-    A word is hit if any occurrence of a window of any item covers it. Null and empty texts have no words and
-    no hits; an item without words has no window; no hits give the digest of the empty string. Rows that
-    repeat each get the same answer. Items that repeat an item_id are one item with the windows of all.
+    A word is hit if any occurrence of a window of any item covers it. n_full: items with a window of WINDOW words
+    that occurs. Null and empty texts have no words and no hits; an item without words has no window; no hits give
+    the digest of the empty string. Rows that repeat each get the same answer. Items that repeat an item_id are one
+    item with the windows of all; items without item_id take no part. An empty table gives an empty result; other
+    columns are ignored.
     """
-    prints = settle(item_fingerprints(items))
+    prints = settle(item_fingerprints(items.filter("item_id is not null")))
     widths = sorted(r["width"] for r in prints.select("width").distinct().collect() if r["width"] < WINDOW)  # 7 at most
     passed = settle(candidates(docs, bitmap_of(prints), widths))
     base = passed.filter("width = 0").select("doc_id", "text_key", "n_words")
     ours = passed.filter("width > 0").withColumnsRenamed({"lead": "d_lead", "context": "d_context"}).drop("n_words")
-    theirs = prints.select("hash", "width", "item_id", F.col("lead").alias("i_lead"), F.col("context").alias("i_context")).distinct()
+    # a phrase of many items is compared once, with all items that have it in the same context
+    theirs = prints.groupBy("hash", "width", F.col("lead").alias("i_lead"), F.col("context").alias("i_context")).agg(F.collect_set("item_id").alias("items"))
     hits = settle(spans(ours.join(theirs, ["hash", "width"])))
-    named = hits.groupBy("doc_id", "text_key").agg(F.collect_set("item_id").alias("items"))
+    of_full = F.when(F.col("width") == WINDOW, F.col("items"))
+    named = hits.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_set(of_full))).alias("full_items"))
     pieces = hits.select("doc_id", "text_key", "start", (F.col("start") + F.col("width")).alias("end")).distinct()
     covered = pieces.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("p"))
     # pieces of one document in order: each adds what lies beyond the furthest end so far
@@ -204,15 +209,22 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.when(F.col("items").isNull(), 0).otherwise(n_items).cast("long").alias("n_items"),
         F.sha2(F.coalesce(ids, F.lit("")), 256).alias("items_sha256"),
         (F.when(F.col("items").isNull(), 0).otherwise(n_items) >= MIN_ITEMS).alias("contaminated"),
+        F.coalesce(F.size("full_items"), F.lit(0)).cast("long").alias("n_full"),
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, min_items: int = 1) -> DataFrame:
-    """``docs`` without the rows whose text holds windows of ``min_items`` items or more.
+def drop_contaminated(docs: DataFrame, items: DataFrame, min_full: int = 1) -> DataFrame:
+    """``docs`` without the rows whose text holds full windows of ``min_full`` items or more, or windows of
+    MIN_ITEMS items of any length.
 
-    One is enough here: a document with a single passage of the benchmark leaks it. ``contaminated`` in
-    ``contamination`` is the stricter report, of MIN_ITEMS items.
+    One full window is enough here: a document with a single passage of the benchmark leaks it. An item of a few
+    words alone is not, as its words may be common. ``contaminated`` in ``contamination`` is the stricter report.
+    Nulls, repeats and empty tables as there; other columns are kept, whatever their names.
     """
-    bad = contamination(docs, items).filter(F.col("n_items") >= min_items).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (key == bad["_key"]), "left_anti")
+    found = contamination(docs, items).filter((F.col("n_full") >= min_full) | F.col("contaminated"))
+    bad = found.select("doc_id", "text_key").distinct()
+    own = numbered(docs)
+    place = {c: F.col(f"_c{k}") for k, c in enumerate(docs.columns)}
+    key = F.xxhash64(F.coalesce(place["text"].cast("string"), F.lit("")))
+    kept = own.join(bad, place["doc_id"].cast("long").eqNullSafe(bad["doc_id"]) & (key == bad["text_key"]), "left_anti")
+    return renamed(kept, docs)
