@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import numbered, renamed, settle
 
 #: Hashed features; a model is as many numbers at most (8 MB), so its size has nothing to do with the data's.
 DIM = 1 << 20
@@ -108,7 +108,8 @@ def sample_of(labels: DataFrame, bound: int) -> DataFrame:
 
 
 def examples(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """(doc_id, label, idx) of the sampled documents. The sample is broadcast: its size is bounded."""
+    """(doc_id, label, idx) of the sampled documents. The sample is broadcast: its size is bounded. Of rows that share
+    a doc_id one is an example, so the examples are as bounded."""
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +117,8 @@ def examples(docs: DataFrame, sample: DataFrame) -> DataFrame:
             rows = [features(t.as_py()) for t in batch.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "label", "idx"])
 
-    return chosen.select("doc_id", "text", F.col("label").cast("int")).mapInArrow(run, "doc_id long, label int, idx array<int>")
+    made = chosen.select("doc_id", "text", F.col("label").cast("int")).mapInArrow(run, "doc_id long, label int, idx array<int>")
+    return made.groupBy("doc_id").agg(F.min(F.struct("label", "idx")).alias("e")).select("doc_id", "e.*")
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, epochs: int = EPOCHS) -> np.ndarray:
@@ -166,7 +168,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, score, predicted.
 
     ``labels`` (doc_id, quality); rows held out (crc32 modulo 4 is 2) are never learned from. Null and empty
-    texts get the score of no features. Repeated rows each get the same score.
+    texts get the score of no features. Rows that share a doc_id are scored each by its own text. An empty table
+    gives an empty result; other columns are ignored.
     """
     known = labels.filter(~in_fold(4, 2)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
     weights = train(docs, known)
@@ -175,9 +178,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those the classifier rejects; it learns from the labelled ones among ``docs``."""
+    """``docs`` without those the classifier rejects; it learns from the labelled ones among ``docs``.
+
+    Null and empty texts score by the bias; repeated rows stay or go together; an empty table gives an empty
+    result; all columns are kept, whatever their names.
+    """
     known = labels.filter(~in_fold(4, 2)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
-    columns = docs.columns
-    numbered = docs.toDF(*[f"_c{k}" for k in range(len(columns))])  # names that clash with none made here
-    scored = score(numbered, train(docs, known), f"_c{columns.index('text')}").filter(F.col("score") >= THRESHOLD)
-    return scored.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(columns)])
+    return renamed(score(numbered(docs), train(docs, known), f"_c{docs.columns.index('text')}").filter(F.col("score") >= THRESHOLD), docs)

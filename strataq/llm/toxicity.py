@@ -19,10 +19,12 @@ from .common import settle
 from .quality import in_fold, sample_of, sigmoid
 
 DIM, FACTORS = 1 << 18, 4
-SAMPLE, EPOCHS = 16_000, 5
+#: Labelled documents to learn from, about; rounds over them, and the first rounds, in which terms learn alone, so
+#: that pairs are left what no term explains.
+SAMPLE, EPOCHS, ALONE = 16_000, 7, 2
 THRESHOLD = 0.5
-#: A term gets its vector once this many learned texts held it and its weight is not zero.
-LEAST_TEXTS = 3
+#: A term gets its vector once this many learned texts held it, whatever its own weight.
+LEAST_TEXTS = 20
 CACHE = 200_000
 #: Lengths of the beginnings of words that are terms as well.
 STEMS = (4, 5, 6)
@@ -58,12 +60,12 @@ class Machine:
     """Weights by follow-the-regularised-leader, so rare terms stay exactly zero; vectors by AdaGrad."""
 
     alpha, beta, l1, l2 = 0.5, 1.0, 5.0, 1.0
-    rate, decay = 0.01, 1e-3
+    rate, decay, spread, slow = 0.03, 1e-3, 0.01, 3.0
 
     def __init__(self) -> None:
         draw = np.random.default_rng(11)
         self.z, self.n = np.zeros(DIM + 1), np.zeros(DIM + 1)
-        self.v, self.g = draw.normal(0, 0.05, (DIM, FACTORS)), np.full((DIM, FACTORS), 1e-6)
+        self.v, self.g = draw.normal(0, self.spread, (DIM, FACTORS)), np.full((DIM, FACTORS), self.slow)
         self.texts = np.zeros(DIM, dtype=np.int32)
 
     def weights(self, idx: np.ndarray) -> np.ndarray:
@@ -71,11 +73,10 @@ class Machine:
         l1 = np.where(idx == DIM, 0.0, self.l1)
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
 
-    def learn(self, idx: np.ndarray, label: int) -> None:
-        self.texts[idx] += 1
+    def learn(self, idx: np.ndarray, label: int, pairs: bool = True) -> None:
         all_idx = np.append(idx, DIM)
         w = self.weights(all_idx)
-        paired = idx[(w[:-1] != 0) & (self.texts[idx] >= LEAST_TEXTS)]
+        paired = idx[self.texts[idx] >= LEAST_TEXTS] if pairs else idx[:0]
         v = self.v[paired]
         total = v.sum(axis=0)
         gradient = sigmoid(w.sum() + 0.5 * float((total * total - (v * v).sum(axis=0)).sum())) - label
@@ -89,9 +90,9 @@ class Machine:
             self.v[paired] = v - self.rate * step / np.sqrt(self.g[paired])
 
     def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Terms with a weight, their weights, their vectors (zero where they have none); last the bias."""
+        """Terms with a weight or a vector, their weights, their vectors (zero where they have none); last the bias."""
         w = self.weights(np.arange(DIM + 1))
-        used = np.append(np.flatnonzero(w[:-1]), DIM)
+        used = np.append(np.flatnonzero((w[:-1] != 0) | (self.texts >= LEAST_TEXTS)), DIM)
         v = np.zeros((len(used), FACTORS))
         own = used[:-1]
         v[:-1] = np.where((self.texts[own] >= LEAST_TEXTS)[:, None], self.v[own], 0.0)
@@ -111,13 +112,16 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, epochs: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(y, idx.values.to_numpy()) for b in batches for y, idx in zip(b.column("label").to_pylist(), b.column("idx"), strict=True)]
         model = Machine()
-        for _ in range(epochs):
+        for _, idx in held:
+            model.texts[idx] += 1
+        for turn in range(epochs):
             for y, idx in held:
-                model.learn(idx, y)
+                model.learn(idx, y, turn >= ALONE)
         used, w, v = model.table()
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(w), pa.array(list(v), pa.list_(pa.float64()))], ["i", "w", "v"])
 
     ready = chosen.select("doc_id", "text", F.col("label").cast("int")).mapInArrow(extract, "doc_id long, label int, idx array<int>")
+    ready = ready.groupBy("doc_id").agg(F.min(F.struct("label", "idx")).alias("e")).select("doc_id", "e.*")  # one for each sampled doc_id
     ordered = ready.repartition(1).sortWithinPartitions(F.xxhash64(F.lit(5), "doc_id"))
     found = settle(ordered.mapInArrow(run, "i int, w double, v array<double>")).toArrow()  # DIM + 1 rows at most
     model = np.zeros((DIM + 1, FACTORS + 1))
@@ -139,7 +143,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, score, predicted.
 
     ``labels`` (doc_id, toxic); rows held out (crc32 modulo 5 is 0) are never learned from. Null and empty
-    texts get the score of no terms. Repeated rows each get the same score; other columns are ignored.
+    texts get the score of no terms. Rows that share a doc_id are scored each by its own text. An empty table gives
+    an empty result; other columns are ignored.
     """
     known = labels.filter(~in_fold(5, 0)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, known))
