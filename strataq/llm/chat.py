@@ -75,12 +75,11 @@ def format_chats(rows: DataFrame, template: Template = CHATML) -> DataFrame:
 
     first = F.struct(F.lit(template.start).alias("state"), F.lit(0).alias("n"), F.lit(None).cast("int").alias("bad"))
     machine = F.aggregate("turns", first, step)
-    literals = {"{open}": template.open, "{after_role}": template.after_role, "{close}": template.close}
 
     def segments(t: Column) -> Column:
         made = []
-        for piece, counted in template.turn:
-            text = {"{role}": escape_role(t["role"]), "{text}": escape(t["text"])}.get(piece, F.lit(literals.get(piece, piece)))
+        for what, literal, counted in pieces_of(template):
+            text = F.lit(what) if literal else escape_role(t["role"]) if what == "role" else escape(t["text"])
             made.append(F.struct(text.alias("text"), (t["role"].isin(*counted) if counted else F.lit(False)).alias("loss")))
         return F.array(*made)
 
@@ -92,15 +91,41 @@ def format_chats(rows: DataFrame, template: Template = CHATML) -> DataFrame:
     )
 
 
-def read_turns(formatted: Column, template: Template = CHATML) -> Column:
-    """The turns (role, text) that a formatted conversation holds."""
-    pieces = F.split(formatted, "\\Q" + template.close + "\\E")
-    whole = F.slice(pieces, 1, F.size(pieces) - 1)  # what follows the last close is empty
+def pieces_of(template: Template) -> list[tuple[str, bool, tuple[str, ...]]]:
+    """The pieces of a turn: what is written (a literal, or role or text), whether it is a literal, whose loss counts it.
+
+    A turn can be read back if it begins and ends with a literal that texts can't hold (it has ``<|``, which is
+    escaped there), what follows the text is such a literal, and what follows the role is that or has a line break.
+    """
+    literals = {"{open}": template.open, "{after_role}": template.after_role, "{close}": template.close}
+    made = [(piece[1:-1], False, counted) if piece in ("{role}", "{text}") else (literals.get(piece, piece), True, counted) for piece, counted in template.turn]
+    for k, (what, literal, _) in enumerate(made):
+        after = made[k + 1][0] if k + 1 < len(made) and made[k + 1][1] else ""
+        if not literal and not ("<|" in after or (what == "role" and after.startswith("\n"))):
+            raise ValueError(f"nothing shows where the {what} ends")
+    if not (made[0][1] and made[-1][1] and "<|" in made[-1][0]):
+        raise ValueError("a turn must begin and end with literals")
+    return made
 
-    def turn(piece: Column) -> Column:
-        body = F.substring(piece, F.lit(len(template.open) + 1), F.length(piece))
-        parts = F.split(body, template.after_role, 2)
-        return F.struct(unescape_role(parts[0]).alias("role"), unescape(parts[1]).alias("text"))
+
+def read_turns(formatted: Column, template: Template = CHATML) -> Column:
+    """The turns (role, text) that a formatted conversation holds, read by the template's pieces in order."""
+    made = pieces_of(template)
+    closing = made[-1][0]
+    parts = F.split(formatted, "\\Q" + closing + "\\E")
+    whole = F.slice(parts, 1, F.size(parts) - 1)  # what follows the last turn's end is empty
+
+    def turn(rest: Column) -> Column:
+        fields = {"role": F.lit(""), "text": F.lit("")}
+        for k, (what, literal, _) in enumerate(made):
+            if literal:
+                rest = F.substring(rest, F.lit(len(what) + 1), F.length(rest))
+            elif made[k + 1][0] == closing and k + 2 == len(made):
+                fields[what] = rest
+            else:
+                fields[what] = F.substring_index(rest, made[k + 1][0], 1)
+                rest = F.substring(rest, F.length(fields[what]) + 1, F.length(rest))
+        return F.struct(unescape_role(fields["role"]).alias("role"), unescape(fields["text"]).alias("text"))
 
     return F.transform(whole, turn)
 
@@ -108,10 +133,15 @@ def read_turns(formatted: Column, template: Template = CHATML) -> Column:
 def digests(chats: DataFrame, template: Template = CHATML) -> DataFrame:
     """What the formatted output says when it is read back: turns, text under the loss, their digests."""
     read = chats.withColumn("read", read_turns(F.col("formatted"), template))
-    under = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+
+    def counted(t: Column) -> Column:
+        under = [F.when(t["role"].isin(*roles), F.lit(what) if literal else t[what]).otherwise("") for what, literal, roles in pieces_of(template) if roles]
+        return F.concat(*under) if under else F.lit("")
+
+    loss = F.array_join(F.transform("read", counted), "")
     said = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id", F.size("read").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
-        F.length(under).cast("long").alias("loss_chars"), F.sha2(under, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
         "valid",
     )

