@@ -7,13 +7,24 @@ repeats counts as often as it does.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataq.functions.scale import BROADCAST_ROWS, broadcast_if_small
+from strataq.functions.scale import broadcast_if_small, cut
 from strataq.functions.text import sanitize_query, tokens
 
+from . import topk
+
 K1, B = 1.2, 0.75
+#: Terms of all queries together, up to which they are sent to the chunks. Up to so many different ones chunks drop
+#: all other words before they leave the JVM; so many are given to the scan of a stored index, which prunes by them.
+ASKED, PUSHED_TERMS, PRUNING_TERMS = 500_000, 20_000, 1000
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -43,36 +54,110 @@ def term_stats(index: DataFrame) -> DataFrame:
     return index.groupBy("term", "field").agg(F.count("*").alias("df"))
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, modality: str | None = None) -> DataFrame:
-    """query_id, path, chunk_index, score of every chunk that holds a term of the query.
+def _hits(words: Column, terms: list[str]) -> Column:
+    """The words that are terms; with very many terms all words, as the scorer looks them up anyway."""
+    return F.filter(words, lambda w: w.isin(terms)) if len(terms) <= PUSHED_TERMS else words
+
+
+def _statistics(chunks: DataFrame, terms: list[str]) -> tuple[dict[str, tuple[int, float]], dict[tuple[str, str], int]]:
+    """n and avgdl of each field, df of each (field, term): one pass, of which twice the terms come to the driver."""
+    each = fields(chunks).select("field", F.size("words").alias("dl"), F.explode(F.array_append(F.array_distinct(_hits(F.col("words"), terms)), F.lit(""))).alias("term"))
+    counts = each.groupBy("field", "term").agg(F.count("*").alias("n"), F.sum("dl").alias("dl"))
+    if len(terms) > PUSHED_TERMS:
+        counts = counts.join(F.broadcast(chunks.sparkSession.createDataFrame([("",), *((t,) for t in terms)], "term string")), "term")
+    rows = counts.collect()
+    return {r["field"]: (r["n"], r["dl"] / r["n"]) for r in rows if r["term"] == ""}, {(r["field"], r["term"]): r["n"] for r in rows if r["term"]}
 
-    Tokens that no query has are dropped where they are read: only matches are shuffled, once, by chunk. Term
-    frequencies and the sums for each query then stay in that partitioning. Field statistics are over all chunks,
-    also if ``modality`` restricts the results.
+
+def _by_partition(chunks: DataFrame, asked: DataFrame, k: int | None, modality: str | None) -> DataFrame:
+    """query_id, path, chunk_index, score: of each batch of chunks the ``k`` best for each query (None: all scored).
+
+    All tokens of a chunk are in its row, so scores are complete where it is read and nothing but results is
+    shuffled. ``asked`` (query_id, term, times) is bounded.
     """
-    wanted = broadcast_if_small(query_terms(queries))
+    numbers = cut(asked.select("query_id").distinct().withColumn("q", F.monotonically_increasing_id()))
+    held = asked.join(numbers, "query_id").select("q", "term", "times").toArrow()
+    terms = sorted(set(held.column("term").to_pylist()))
+    stats, df = _statistics(chunks, terms)
+    place = {t: i for i, t in enumerate(terms)}
+    q_of, q_at = np.unique(held.column("q").to_numpy(), return_inverse=True)
+    idf = {f: np.array([math.log(1 + (n - df.get((f, t), 0) + 0.5) / (df.get((f, t), 0) + 0.5)) for t in terms]) for f, (n, _) in stats.items()}
+    wanted = np.array([place[t] for t in held.column("term").to_pylist()], dtype=np.int64)
+    shared = chunks.sparkSession.sparkContext.broadcast((pa.array(terms, pa.string()), wanted, q_at, held.column("times").to_numpy(), q_of, stats, idf))
+    rows = chunks if modality in (None, "both") else chunks.filter(F.col("modality") == modality)
+    columns = ["path", "chunk_index"]
+    for name, text in (("title", "title"), ("body", "text")):
+        words = F.transform(F.array(tokens(F.col(text))), lambda w: F.struct(F.size(w).alias("dl"), _hits(w, terms).alias("hits")))[0]
+        rows = rows.withColumn(name + "_words", words)
+        columns += [F.col(f"{name}_words.dl").alias(f"{name}_dl"), F.col(f"{name}_words.hits").alias(f"{name}_hits")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, term_at, query_at, times, numbers_, stats_, idf_ = shared.value
+        for batch in batches:
+            batch = topk.sorted_batch(batch, "path", "chunk_index")
+            row, code, part = [], [], []
+            for name, (_, avgdl) in stats_.items():
+                hits, dl = batch.column(f"{name}_hits"), batch.column(f"{name}_dl").to_numpy(zero_copy_only=False)
+                at = pc.index_in(hits.flatten(), vocabulary)
+                where = np.repeat(np.arange(len(hits)), pc.fill_null(hits.value_lengths(), 0).to_numpy())[at.is_valid().to_numpy(zero_copy_only=False)]
+                key, tf = np.unique(where * len(vocabulary) + at.drop_null().to_numpy(), return_counts=True)
+                r, c = key // len(vocabulary), key % len(vocabulary)
+                row.append(r)
+                code.append(c)
+                part.append(idf_[name][c] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[r] / avgdl)))
+            row, code, part = (np.concatenate(x) if x else np.empty(0) for x in (row, code, part))
+            for q0, q1, r0, r1 in topk.blocks(len(numbers_), batch.num_rows):
+                own = (query_at >= q0) & (query_at < q1)
+                order = np.flatnonzero(own)[np.argsort(term_at[own], kind="stable")]
+                first = np.searchsorted(term_at[order], np.arange(len(vocabulary) + 1))
+                e = np.flatnonzero((row >= r0) & (row < r1))
+                n = first[code[e] + 1] - first[code[e]]
+                ends = np.cumsum(n)
+                asks = order[np.repeat(first[code[e]] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+                cell = (query_at[asks] - q0) * (r1 - r0) + np.repeat(row[e] - r0, n)
+                sums = np.bincount(cell, np.repeat(part[e], n) * times[asks], (q1 - q0) * (r1 - r0)).reshape(q1 - q0, r1 - r0)
+                rounded = np.where(sums > 0, np.round(sums, 9), -np.inf)
+                q, r = topk.best_cells(rounded, k) if k else np.nonzero(sums > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers_[q0 + q]), batch.column("path").take(pa.array(r0 + r)), batch.column("chunk_index").take(pa.array(r0 + r)), pa.array(sums[q, r])], ["q", "path", "chunk_index", "score"])
+
+    kinds = {n: t for n, t in chunks.dtypes}
+    found = rows.select(*columns).mapInArrow(run, f"q long, path {kinds['path']}, chunk_index {kinds['chunk_index']}, score double")
+    return found.join(F.broadcast(numbers), "q").select("query_id", "path", "chunk_index", "score")  # no more queries than ASKED
+
+
+def _by_chunk(chunks: DataFrame, asked: DataFrame, modality: str | None) -> DataFrame:
+    """The same for any number of queries, all scored: matches are counted before they are shuffled by chunk."""
     indexed = fields(chunks).select("*", F.size("words").alias("dl"))
     stats = indexed.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # two rows
-    terms = wanted.select("term").distinct()
-    # counted: a term has two rows at most in what is broadcast
-    hint = F.broadcast if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda df: df
     exploded = indexed.select("path", "chunk_index", "field", "dl", F.explode("words").alias("term"))
-    met = exploded.join(hint(terms), "term").repartition("path", "chunk_index")
-    held = met.groupBy("path", "chunk_index", "field", "dl", "term").agg(F.count("*").alias("tf"))
-    df = hint(held.groupBy("field", "term").agg(F.count("*").alias("df")))
+    held = exploded.join(asked.select("term").distinct(), "term", "left_semi").groupBy("path", "chunk_index", "field", "dl", "term").agg(F.count("*").alias("tf"))
+    df = held.groupBy("field", "term").agg(F.count("*").alias("df"))
     weighted = held.join(df, ["field", "term"]).join(F.broadcast(stats), "field")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = weighted.withColumn("part", part).join(wanted, "term")
+    scored = weighted.withColumn("part", part).join(asked, "term")
     if modality not in (None, "both"):
         scored = scored.join(chunks.filter(F.col("modality") == modality).select("path", "chunk_index"), ["path", "chunk_index"])
     return scored.groupBy("query_id", "path", "chunk_index").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
 
 
+def bm25_scores(chunks: DataFrame, queries: DataFrame, modality: str | None = None, k: int | None = None) -> DataFrame:
+    """query_id, path, chunk_index, score of every chunk that holds a term of the query; with ``k`` of each batch
+    of chunks only the best so many, which hold the best of all.
+
+    Field statistics are over all chunks, also if ``modality`` restricts the results. A query table with more than
+    ASKED terms in all is not sent to the chunks; the chunks' matches are shuffled instead.
+    """
+    asked = cut(query_terms(queries))
+    if asked.count() <= ASKED:
+        return _by_partition(chunks, asked, k, modality)
+    return _by_chunk(chunks, asked, modality)
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, modality: str | None = None) -> DataFrame:
     """The ``k`` best chunks of each query: query_id, rank, path, chunk_index, score; ties by path, then chunk."""
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "path", "chunk_index")
-    ranked = bm25_scores(chunks, queries, modality).withColumn("rank", F.row_number().over(order))
+    ranked = bm25_scores(chunks, queries, modality, k).withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "path", "chunk_index", "score")
 
 
@@ -89,16 +174,12 @@ def build_index(chunks: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-#: So many terms of queries are given to the scan as literals, which it prunes row groups by.
-PUSHED_TERMS = 1000
-
-
 def bm25_indexed(index: dict[str, DataFrame], queries: DataFrame, k: int = 10) -> DataFrame:
     """As ``bm25``, from a stored index: only the postings of the queries' terms are read."""
     wanted = broadcast_if_small(query_terms(queries))
     held, terms = index["postings"], index["terms"]
-    few = [r["term"] for r in wanted.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
-    if len(few) <= PUSHED_TERMS:
+    few = [r["term"] for r in wanted.select("term").distinct().limit(PRUNING_TERMS + 1).collect()]
+    if len(few) <= PRUNING_TERMS:
         held, terms = held.filter(F.col("term").isin(few)), terms.filter(F.col("term").isin(few))
     weighted = held.join(terms, ["term", "field"]).join(F.broadcast(index["fields"]), "field")  # fields: two rows
     weighted = weighted.repartition("path", "chunk_index").join(wanted, "term")
