@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataq.functions import text as tx
-from strataq.functions.vector import cosine, hamming, l2_normalize
+from strataq.functions.vector import cosine, hamming, l2_normalize, norm
 from strataq.operators import analytics, catalog, chunk, community, federation, fusion, graph, layout, lexical, pattern, search, validate, vectors
 from strataq.sources import files as sources
 from strataq.streaming import sync
@@ -110,10 +110,9 @@ SELECT path, round(sqrt(sum(x * x)), 5) AS length, round(max(x) / sqrt(sum(x * x
 )
 def doc_vectors(t: Tables) -> DataFrame:
     """Lengths of the mean vectors and the largest component of the unit vector."""
-    mean = t.vectors().select("path", F.posexplode("embedding").alias("i", "x")).groupBy("path", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    length = mean.groupBy("path").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
-    unit = vectors.doc_vectors(t.vectors().withColumn("embedding", F.col("embedding").cast("array<double>"))).select("path", F.array_max("embedding").alias("largest"))
-    return rounded(length.join(unit, "path"), "length", "largest", places=5)
+    mean = vectors.mean_vectors(t.vectors()).select("path", norm(F.col("embedding")).alias("length"))
+    unit = vectors.doc_vectors(t.vectors()).select("path", F.array_max("embedding").alias("largest"))
+    return rounded(mean.join(unit, "path"), "length", "largest", places=5)
 
 
 SIGNS = "list_sum(list_transform(range(64), lambda i: CASE WHEN {0}[i + 1] > 0 THEN (1::HUGEINT << i::INTEGER) ELSE 0 END))::HUGEINT"
