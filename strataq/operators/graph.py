@@ -2,11 +2,13 @@
 
 edges: src, dst, edge_type, class, weight (others are kept where rows are). Node sets and frontiers are tables, so
 many starts are traversed at once: a start is a row with a ``seed``. Loops are bounded by depth, join only the
-frontier, and cut their lineage into the shared checkpoint folder when deeper than CUT_EVERY.
+frontier, and settle each frontier in the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from strataq.functions.scale import cut
 CUT_EVERY = 3
 #: Weight of an edge by its type.
 CODE_WEIGHTS = {"defines": 1.0, "calls": 0.8, "tests": 0.9, "imports": 0.6, "inherits": 0.9, "extends": 0.9, "implements": 0.9, "decorates": 0.85, "struct_embeds": 0.85, "foreign_key": 0.9, "macro_expands": 0.7}
+#: Other names of edge types, and the types of lineage.
 ALIASES = {"implements_trait": "implements", "documents_code": "documents", "shared_tag": "related_tag"}
 LINEAGE = ("supersedes", "implements", "depends_on", "adr_for", "parent_of")
 
@@ -151,40 +154,43 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int, types: list[str] | None
     for each level.
     """
     hop = directed(select_edges(edges, types, edge_class), direction).select("src", "dst").distinct()
-    seen = seeds.select("seed", "node").distinct().withColumn("hops", F.lit(0))
-    frontier = seen
+    hop = cut(hop) if depth > 1 else hop
+    frontier = cut(seeds.select("seed", "node").distinct().withColumn("hops", F.lit(0)))
+    levels = [frontier]
     for d in range(1, depth + 1):
         step = frontier.join(hop, frontier["node"] == hop["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(d))
-        seen = seen.unionByName(frontier)
-        if d % CUT_EVERY == 0 and d < depth:
-            seen = cut(seen)
-            frontier = seen.filter(F.col("hops") == d)
+        seen = reduce(DataFrame.unionByName, levels).select("seed", "node")
+        frontier = step.join(seen, ["seed", "node"], "left_anti").withColumn("hops", F.lit(d))
+        if d < depth:
+            frontier = cut(frontier)  # each level is computed once, of the one before
             if frontier.isEmpty():
                 break
-    return seen.filter("hops > 0")
+        levels.append(frontier)
+    return reduce(DataFrame.unionByName, levels[1:], frontier.filter("hops < 0"))
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 10, types: list[str] | None = None, edge_class: str | None = None) -> DataFrame:
     """source, target, path, hops of a shortest path for each (source, target); ties: the least path in order.
 
-    The search from each source carries one path to each node, the least of those as short.
+    The search from each source carries one path to each node, the least of those as short, and ends when all its
+    targets are reached.
     """
-    hop = select_edges(edges, types, edge_class).select("src", "dst").distinct()
-    seen = pairs.select(F.col("source").alias("seed"), F.col("source").alias("node")).distinct().withColumn("path", F.array("node")).withColumn("hops", F.lit(0))
-    frontier = seen
+    hop = cut(select_edges(edges, types, edge_class).select("src", "dst").distinct())
+    wanted = cut(pairs.select("source", "target").distinct())
+    frontier = cut(wanted.select(F.col("source").alias("seed"), F.col("source").alias("node")).distinct().withColumn("path", F.array("node")).withColumn("hops", F.lit(0)))
+    levels, left = [frontier], wanted
     for d in range(1, depth + 1):
-        step = frontier.join(hop, frontier["node"] == hop["src"])
+        ends = left.select(F.col("source").alias("seed")).distinct()
+        step = frontier.join(ends, "seed", "left_semi").join(hop, frontier["node"] == hop["src"])
         step = step.groupBy("seed", F.col("dst").alias("node")).agg(F.min(F.array_append("path", F.col("dst"))).alias("path"))
-        frontier = step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(d))
-        seen = seen.unionByName(frontier)
-        if d % CUT_EVERY == 0 and d < depth:
-            seen = cut(seen)
-            frontier = seen.filter(F.col("hops") == d)
-            if frontier.isEmpty():
-                break
-    found = seen.withColumnsRenamed({"seed": "source", "node": "target"})
-    return pairs.select("source", "target").distinct().join(found, ["source", "target"])
+        seen = reduce(DataFrame.unionByName, levels).select("seed", "node")
+        frontier = cut(step.join(seen, ["seed", "node"], "left_anti").withColumn("hops", F.lit(d)))
+        if frontier.isEmpty():
+            break
+        levels.append(frontier)
+        left = left.join(frontier, (left["source"] == frontier["seed"]) & (left["target"] == frontier["node"]), "left_anti")
+    found = reduce(DataFrame.unionByName, levels).withColumnsRenamed({"seed": "source", "node": "target"})
+    return wanted.join(found, ["source", "target"])
 
 
 def dfs(edges: DataFrame, seeds: DataFrame, depth: int, limit: int = 10_000) -> DataFrame:
@@ -264,17 +270,18 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.5
     """
     own = edges if edge_class is None else edges.filter(F.col("class") == edge_class)
     links = own.select("src", "dst").union(own.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    degree = links.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+    # parallel edges as one with a number, and each node's degree beside its links: made once, read at each step
+    links = links.groupBy("src", "dst").agg(F.count("*").alias("times"))
+    links = cut(links.join(links.groupBy("src").agg(F.sum("times").alias("degree")), "src"))
     raised = seeds.groupBy("seed", "node").agg(F.greatest(F.max("weight"), F.lit(floor)).alias("w"))
     total = Window.partitionBy("seed")
-    start = raised.select("seed", "node", (F.col("w") / F.sum("w").over(total)).alias("p0"))
+    start = cut(raised.select("seed", "node", (F.col("w") / F.sum("w").over(total)).alias("p0")))
     p = start.withColumnRenamed("p0", "p")
     for k in range(iterations):
-        live = p.filter("p >= 1e-9").join(degree, "node", "left")
-        moved = live.filter("degree is not null").join(links, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"), (F.col("p") / F.col("degree")).alias("p"))
-        kept = live.filter("degree is null").select("seed", "node", "p")
+        met = p.filter("p >= 1e-9").join(links, F.col("node") == F.col("src"), "left")
+        share = F.when(F.col("dst").isNull(), F.col("p")).otherwise(F.col("p") * F.col("times") / F.col("degree"))
         back = start.select("seed", "node", (alpha * F.col("p0")).alias("p"))
-        spread = moved.unionByName(kept).select("seed", "node", ((1 - alpha) * F.col("p")).alias("p"))
+        spread = met.select("seed", F.coalesce("dst", "node").alias("node"), ((1 - alpha) * share).alias("p"))
         p = spread.unionByName(back).groupBy("seed", "node").agg(F.sum("p").alias("p"))
         if (k + 1) % CUT_EVERY == 0 and k + 1 < iterations:
             p = cut(p)
