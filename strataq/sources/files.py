@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from strataq.functions.text import content_hash, tags, title, wikilinks
 from strataq.operators.chunk import line_windows
 
+# Folders that are never read.
 SAFETY_CORE = (".git", ".index", "node_modules")
 # Extensions of files that are never text.
 BINARY_EXTENSIONS = ("exe", "dll", "so", "dylib", "bin", "o", "a", "lib", "class", "jar", "pyc", "pyo", "pyd", "png", "jpg", "jpeg", "gif", "ico", "webp", "bmp", "tiff", "psd", "mp3", "wav", "flac", "ogg", "mp4", "avi", "mkv", "mov", "webm", "zip", "tar", "gz", "bz2", "xz", "7z", "rar", "iso", "wasm", "woff", "woff2", "ttf", "eot", "otf", "db", "sqlite", "sqlite3", "pdf", "docx")
 # Language by extension and by file name.
 LANGUAGES = {"rs": "rust", "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "py": "python", "go": "go", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "java": "java", "cs": "csharp", "rb": "ruby", "php": "php", "swift": "swift", "ex": "elixir", "exs": "elixir", "lua": "lua", "sh": "bash", "bash": "bash", "kt": "kotlin", "scala": "scala", "zig": "zig", "dart": "dart", "sql": "sql", "yaml": "yaml", "yml": "yaml", "proto": "proto", "sol": "solidity", "html": "html", "css": "css", "json": "json", "toml": "toml", "ml": "ocaml", "hs": "haskell", "cmake": "cmake", "mk": "make", "jl": "julia", "graphql": "graphql", "r": "r", "tf": "hcl", "hcl": "hcl", "nix": "nix", "cu": "cuda", "v": "verilog", "tla": "tlaplus", "bzl": "starlark", "bicep": "bicep", "gleam": "gleam", "ps1": "powershell", "d": "d", "wgsl": "wgsl", "erl": "erlang", "xml": "xml", "bas": "vb6", "pls": "plsql", "cob": "cobol"}
 FILE_NAMES = {"dockerfile": "dockerfile", "makefile": "make", "cmakelists.txt": "cmake", "build": "starlark", "workspace": "starlark"}
+# Package manifests, their managers, where they name the package and its version.
 MANIFESTS = {"Cargo.toml": ("cargo", r'(?m)^name\s*=\s*"([^"]+)"', r'(?m)^version\s*=\s*"([^"]+)"'), "package.json": ("npm", r'"name"\s*:\s*"([^"]+)"', r'"version"\s*:\s*"([^"]+)"'), "pyproject.toml": ("pip", r'(?m)^name\s*=\s*"([^"]+)"', r'(?m)^version\s*=\s*"([^"]+)"'), "go.mod": ("go", r"(?m)^module\s+(\S+)", r"(?m)^go\s+(\S+)"), "pom.xml": ("maven", r"<artifactId>([^<]+)<", r"<version>([^<]+)<"), "build.gradle": ("gradle", r"(?m)^\s*archivesBaseName\s*=\s*'([^']+)'", r"(?m)^\s*version\s*=?\s*'([^']+)'"), "setup.py": ("pip", r"name\s*=\s*['\"]([^'\"]+)", r"version\s*=\s*['\"]([^'\"]+)")}
 
 
@@ -80,13 +82,14 @@ def language(path: Column, text: Column | None = None) -> Column:
 def decode(content: Column) -> Column:
     """Text of bytes by their mark: UTF-8 or UTF-16 of either order; without one UTF-16 is seen by its zeros."""
     head = F.hex(F.substring(content, 1, 64))
-    body = lambda n: F.expr(f"substring(content, {n + 1})")
-    guess = head.rlike("^(?:[2-7][0-9A-F]00){4,}")
+    body = lambda n: F.substring(content, F.lit(n + 1), F.octet_length(content))
+    guess, other = head.rlike("^(?:[2-7][0-9A-F]00){4,}"), head.rlike("^(?:00[2-7][0-9A-F]){4,}")
     return (
-        F.when(head.startswith("EFBBBF"), F.expr("cast(substring(content, 4) as string)"))
+        F.when(head.startswith("EFBBBF"), body(3).cast("string"))
         .when(head.startswith("FFFE"), F.decode(body(2), "UTF-16LE"))
         .when(head.startswith("FEFF"), F.decode(body(2), "UTF-16BE"))
         .when(guess, F.decode(content, "UTF-16LE"))
+        .when(other, F.decode(content, "UTF-16BE"))
         .otherwise(content.cast("string"))
     )
 
