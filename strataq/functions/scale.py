@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if it was counted and has this many rows at most.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only if it was measured and has this many rows and bytes (as JSON) at most.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has few rows; else as it is, and the join shuffles both sides."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it is small; else as it is, and the join shuffles both sides.
+
+    It is measured up to the bound only; what is small is cheap to compute twice.
+    """
+    some = df.limit(rows + 1)
+    measured = some.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*[df[c].alias(f"c{k}") for k, c in enumerate(df.columns)])))), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if measured["n"] <= rows and measured["bytes"] <= size else df
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared checkpoint folder; loops that grow a plan cut it here."""
-    context = df.sparkSession.sparkContext
+    """``df`` computed once into the shared checkpoint folder; loops that grow a plan cut it here. Where no folder is
+    set, a temporary one on a local master, else an error."""
+    session, context = df.sparkSession, df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strataq-"))
+        configured = session.conf.get("spark.checkpoint.dir", None)
+        if not configured and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="strataq-"))
     return df.checkpoint(eager=True)

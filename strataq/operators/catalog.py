@@ -41,7 +41,7 @@ def where(identifiers: DataFrame, symbols: DataFrame, names: DataFrame, role: st
     if role not in (None, "defines"):
         fallback = fallback.filter(F.lit(False))
     rest = fallback.join(known.select("corpus", "name").distinct(), ["corpus", "name"], "left_anti")
-    return known.unionByName(rest).orderBy("corpus", "path", "line", "name").limit(most)
+    return known.unionByName(rest).orderBy("corpus", "path", "line", "name", "role").limit(most)
 
 
 def symbols_like(symbols: DataFrame, part: str) -> DataFrame:

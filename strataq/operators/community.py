@@ -9,7 +9,8 @@ from strataq.functions.scale import cut
 
 from .graph import degrees, in_degree, nodes_of
 
-PASSES = 20
+#: Fixed value: passes of moves at most.
+PASSES = 100
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -54,21 +55,21 @@ def communities(edges: DataFrame, passes: int = PASSES) -> DataFrame:
     return state.select("node", "community")
 
 
-def connected(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 50) -> DataFrame:
-    """node, component (its least node): least labels spread along edges, and labels jump to their label's."""
+def connected(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """node, component (its least node): least labels spread along edges, and labels jump to their label's, until
+    none moves; jumps make the number of rounds grow with the logarithm of the longest way."""
     pairs = edges.filter("src != dst").select("src", "dst")
     both = cut(pairs.union(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     every = nodes_of(edges) if nodes is None else nodes_of(edges).union(nodes.select("node")).distinct()
     state = cut(every.withColumn("component", F.col("node")))
-    for _ in range(rounds):
+    while True:
         spread = both.join(state, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("near"))
         lower = state.join(spread, "node", "left").select("node", F.least("component", "near").alias("next"), "component")
         jump = lower.select(F.col("node").alias("next"), F.col("next").alias("beyond"))
         after = cut(lower.join(jump, "next", "left").select("node", F.least("next", F.coalesce("beyond", "next")).alias("component"), (F.least("next", F.coalesce("beyond", "next")) != F.col("component")).alias("moved")))
         state = after.select("node", "component")
         if after.filter("moved").isEmpty():
-            break
-    return state
+            return state
 
 
 def refined(edges: DataFrame, found: DataFrame | None = None) -> DataFrame:

@@ -193,10 +193,11 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 10, types: l
     return wanted.join(found, ["source", "target"])
 
 
-def dfs(edges: DataFrame, seeds: DataFrame, depth: int, limit: int = 10_000) -> DataFrame:
+def dfs(edges: DataFrame, seeds: DataFrame, depth: int, limit: int | None = None) -> DataFrame:
     """seed, node, depth, place in the order of a depth-first walk with neighbours by name; nodes count as seen
-    when they are pushed, so depth is that of discovery. Each start walks alone over what BFS reaches from it;
-    a walk of more than ``limit`` edges is refused, since its order can't be distributed."""
+    when they are pushed, so depth is that of discovery. Each start walks alone, in one task, over what BFS reaches
+    from it, since the order of a walk can't be distributed; a walk of more than ``limit`` edges is refused, if one
+    is given."""
     import pandas as pd
 
     reach = bfs(edges, seeds, depth).select("seed", "node").unionByName(seeds.select("seed", "node")).distinct()
@@ -204,7 +205,7 @@ def dfs(edges: DataFrame, seeds: DataFrame, depth: int, limit: int = 10_000) ->
     roots = seeds.select("seed", F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"))
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > limit:
+        if limit is not None and len(rows) > limit:
             raise ValueError(f"a depth-first walk over {len(rows)} edges; the limit is {limit}")
         seed = rows["seed"].iloc[0]
         out: dict[str, list[str]] = {}

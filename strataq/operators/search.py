@@ -5,16 +5,18 @@ All take a table of queries. ``Corpus`` names the tables a search needs; those t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataq.functions.scale import broadcast_if_small, cut
 
 from . import graph
-from .fusion import K, best_per, clean_path, concat_partitions, first_rank, is_code_path, ranked, rrf, union_lists
-from .lexical import bm25
+from .fusion import K, clean_path, concat_partitions, first_rank, is_code_path, ranked, rrf, union_lists
+from .lexical import bm25, query_terms
 from .vectors import hamming_topk, semantic, vector_topk
 
 #: Constant of fusion for what only the graph found; seeds of the graph; results fetched for each one wanted.
@@ -213,8 +215,14 @@ def multihop(corpus: Corpus, queries: DataFrame, limit: int = 10) -> DataFrame:
     """query_id, rank, path, score, concepts: each concept's list, the whole query's at half weight, and nodes
     on shortest structural paths between the concepts' three best at a fifth. A path that several concepts
     find gains by their number."""
-    split = F.udf(decompose, "array<string>")  # a query table is small and scalar; its text is all that passes
-    parts = queries.select("query_id", F.posexplode(split("text")).alias("concept", "text"))
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [decompose(x or "") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["query_id", "concepts"])
+
+    kind = dict(queries.dtypes)["query_id"]
+    cut_up = queries.select("query_id", "text").mapInArrow(split, f"query_id {kind}, concepts array<string>")
+    parts = cut_up.select("query_id", F.posexplode("concepts").alias("concept", "text"))
     each = parts.select(F.struct("query_id", "concept").alias("query_id"), "text")
     found = cut(bm25(corpus.chunks, each, 2 * limit).select("query_id.query_id", "query_id.concept", "rank", "path"))
     whole = bm25(corpus.chunks, queries, 2 * limit)
@@ -309,20 +317,23 @@ def algorithm(name: str, corpus: Corpus, queries: DataFrame, limit: int = 10) ->
 
 
 def name_pagerank(corpus: Corpus, queries: DataFrame, limit: int = 10, alpha: float = 0.85, iterations: int = 10) -> DataFrame:
-    """PageRank from the nodes whose name holds a term of the query."""
-    from .lexical import query_terms
+    """PageRank from the nodes whose name holds a term of the query.
 
-    terms = query_terms(queries).filter(F.length("term") >= 3).select("query_id", "term", F.length("term").alias("n"))
-    lengths = [r["n"] for r in terms.select("n").distinct().collect()]  # tokens have a longest length, so these are few
+    Terms and names meet by groups of three letters: a term's rarest group is looked up among those of each name,
+    and what shares it is compared in full.
+    """
+    terms = cut(query_terms(queries).filter(F.length("term") >= 3).select("query_id", "term"))
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
     low = F.lower(F.col("node").cast("string"))
-    none = F.array().cast("array<string>")
-
-    def cut_out(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(low) - (n - 1))
-        return F.when(F.length(low) >= n, F.transform(starts, lambda i: F.substring(low, i, F.lit(n)))).otherwise(none)
-
-    parts = F.array_distinct(F.flatten(F.array(*map(cut_out, lengths)))) if lengths else none
-    met = graph.nodes_of(corpus.edges).select("node", F.explode(parts).alias("term")).join(broadcast_if_small(terms), "term")
+    named = graph.nodes_of(corpus.edges).select("node", low.alias("low")).filter(F.length("low") >= 3)
+    keyed = terms.select("term", F.explode(grams(F.col("term"))).alias("gram")).distinct()
+    held = cut(named.select("node", "low", F.explode(grams(F.col("low"))).alias("gram")).join(broadcast_if_small(keyed.select("gram").distinct()), "gram", "left_semi"))
+    often = held.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = keyed.join(broadcast_if_small(often), "gram").groupBy("term").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    # a term with a group that no name has is in no name
+    whole = keyed.join(broadcast_if_small(often), "gram", "left").groupBy("term").agg(F.bool_and(F.col("n").isNotNull()).alias("all")).filter("all")
+    asked = rarest.join(whole, "term").join(terms, "term")
+    met = held.join(broadcast_if_small(asked), "gram").filter(F.col("low").contains(F.col("term")))
     seeds = met.select(F.col("query_id").alias("seed"), "node", F.lit(1.0).alias("weight")).distinct()
     p = graph.personalized_pagerank(corpus.edges, seeds, alpha, iterations)
     return ranked(p.select(F.col("seed").alias("query_id"), F.col("node").alias("path"), "score"), limit)
@@ -331,5 +342,3 @@ def name_pagerank(corpus: Corpus, queries: DataFrame, limit: int = 10, alpha: fl
 def path_modality(path: Column) -> Column:
     return F.when(is_code_path(clean_path(path)), "code").otherwise("docs")
 
-
-__all__ = ["Corpus", "best_per", "search"]

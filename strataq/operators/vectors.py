@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataq.functions.scale import cut
@@ -182,12 +182,19 @@ def hamming_topk(prints: DataFrame, queries: DataFrame, k: int = 10, prior: bool
 
 # --- projection --------------------------------------------------------------------------------------------
 
-#: Smoothing of token weights, and where common tokens are taken to stand.
-SIF_A, COMMON_RANK = 1e-4, 5000
-#: Weight of a field in a projection.
-FIELD_WEIGHTS = {"name": 2.0, "path": 0.8, "signature": 1.2, "doc": 0.8, "content": 1.0, "query": 1.0}
+#: Smoothing of token weights; occurrences that a common token is taken to have, others having one.
+SIF_A, COMMON = 1e-4, 5000
+#: Weight of a field in a projection; the path of a symbol or chunk, and that of a whole document.
+FIELD_WEIGHTS = {"name": 2.0, "path": 0.8, "document_path": 1.2, "signature": 1.2, "doc": 0.8, "content": 1.0, "query": 1.0}
+# Tokens taken to be common in prose, in source code, and in paths.
+COMMON_TOKENS = (
+    "in", "to", "for", "of", "and", "the", "a", "an", "is", "at", "by", "from", "with", "on", "as", "it", "this", "that", "be", "or", "if", "let", "mut",
+    "const", "var", "val", "def", "fn", "func", "function", "pub", "private", "public", "protected", "class", "struct", "interface", "type", "enum", "import", "export", "require", "package", "namespace", "use", "using", "return", "returns", "async", "await", "yield", "new", "throw", "throws", "try", "catch", "finally", "except", "true", "false", "null", "nil", "undefined", "none", "void", "self", "super", "string", "int", "bool", "boolean", "float", "double", "bytes", "byte", "any", "include", "header",
+    "src", "lib", "internal", "pkg", "index", "js", "ts", "rs", "go", "py", "java", "cpp", "c", "h", "cs", "rb", "kt", "php",
+)
 
 
+@lru_cache(maxsize=20_000)
 def token_vector(token: str) -> np.ndarray:
     """256 values in [-1, 1] from the token's digest, of unit length; the same on every machine."""
     raw = b"".join(hashlib.sha256(f"{token}\x00{k}".encode()).digest() for k in range(BITS // 32))
@@ -205,21 +212,30 @@ def weighted_tokens(texts: DataFrame) -> DataFrame:
     return each.groupBy("id", F.col("m.t").alias("token")).agg(F.sum("m.w").alias("weight"))
 
 
+def sif_weight(token: Column) -> Column:
+    """Smooth inverse frequency a / (a + p); p is the token's share of all occurrences in the background table."""
+    total = float(COMMON * len(COMMON_TOKENS))
+    return F.when(token.isin(*COMMON_TOKENS), SIF_A / (SIF_A + COMMON / total)).otherwise(SIF_A / (SIF_A + 1 / total))
+
+
 def sif_weights(rows: DataFrame) -> DataFrame:
-    """Token weights by smooth inverse frequency a / (a + p), p the token's share of all occurrences."""
+    """token, sif of (id, token): the same with the shares that a corpus itself has."""
     counts = rows.groupBy("token").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("all"))
-    return counts.join(F.broadcast(total), F.lit(True)).select("token", (SIF_A / (SIF_A + F.col("n") / F.col("all"))).alias("sif"))
+    return counts.join(F.broadcast(total), F.lit(True)).select("token", (SIF_A / (SIF_A + F.col("n") / F.col("all"))).alias("sif"))  # total: one row
 
 
-def project(texts: DataFrame, remove_common: bool = False) -> DataFrame:
+def project(texts: DataFrame, remove_common: bool = False, own_frequencies: bool = False) -> DataFrame:
     """id, w0..w3: fingerprints of (id, field, text), the signs of the weighted mean of the tokens' vectors.
 
     Token weights are summed before the vectors are made, so a group holds a row for each of its different
     tokens. With ``remove_common`` the direction most texts share is taken out first.
     """
     rows = weighted_tokens(texts)
-    weighted = rows.join(sif_weights(rows), "token").select("id", "token", (F.col("weight") * F.col("sif")).alias("weight"))
+    if own_frequencies:
+        weighted = rows.join(sif_weights(rows), "token").select("id", "token", (F.col("weight") * F.col("sif")).alias("weight"))
+    else:
+        weighted = rows.select("id", "token", (F.col("weight") * sif_weight(F.col("token"))).alias("weight"))
     kind = texts.schema["id"].dataType.simpleString()
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

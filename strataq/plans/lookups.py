@@ -12,7 +12,7 @@ from strataq.operators.vectors import sign_prints
 from strataq.sources import files as sources
 
 from .queries import BM25, ORACLE_SQL, SIGNS, _corpus, query, rounded
-from .tables import Tables, with_views
+from .tables import Tables, stem_sql, with_views
 
 # --- text of notes -----------------------------------------------------------------------------------------
 
@@ -68,23 +68,12 @@ def identifier_parts(t: Tables) -> DataFrame:
     return t.raw("part").select(F.col("p_partkey").alias("id"), tx.split_identifier(camel).alias("parts"))
 
 
-def _stem_sql(w: str) -> str:
-    """The suffix rules in their order; a doubled letter before ``ing`` is single."""
-    cases = []
-    for suffix, dropped, ending, longer in tx.STEM_RULES:
-        base = f"left({w}, length({w}) - {dropped})"
-        if suffix == "ing":
-            base = f"CASE WHEN length({base}) > 2 AND {base}[-1] = {base}[-2] THEN left({base}, length({base}) - 1) ELSE {base} END"
-        cases.append(f"WHEN {w} LIKE '%{suffix}' AND length({w}) > {longer}" + (f" AND {w} NOT LIKE '%ss'" if suffix == "s" else "") + f" THEN {base} || '{ending}'")
-    return f"CASE WHEN length({w}) <= 4 THEN NULL {' '.join(cases)} END"
-
-
 #: Words with the endings of English, made of the names of parts.
 ENDINGS = ("s", "es", "ies", "ing", "ning", "ment", "able", "ible", "ation", "ition", "sion", "version", "tion", "ate", "ize", "ise", "ization", "isation", "ss", "")
 WORDS_SQL = "words AS (SELECT DISTINCT w || e AS word FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part), (SELECT unnest([{}]) AS e))".format(", ".join(f"'{e}'" for e in ENDINGS))
 
 
-@query(f"WITH {WORDS_SQL} SELECT word, {_stem_sql('word')} AS stem FROM words")
+@query(f"WITH {WORDS_SQL} SELECT word, {stem_sql('word')} AS stem FROM words")
 def word_stems(t: Tables) -> DataFrame:
     endings = F.explode(F.array(*[F.lit(e) for e in ENDINGS]))
     words = t.raw("part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct().select("w", endings.alias("e")).select(F.concat("w", "e").alias("word")).distinct()

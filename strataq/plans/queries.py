@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataq.functions import text as tx
-from strataq.functions.vector import cosine, hamming, l2_normalize, norm
+from strataq.functions.vector import cosine, l2_normalize, norm
 from strataq.operators import analytics, catalog, chunk, community, federation, fusion, graph, layout, lexical, pattern, search, validate, vectors
 from strataq.sources import files as sources
 from strataq.streaming import sync
 
-from .tables import Tables, with_views
+from .tables import Tables, stem_sql, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -136,11 +136,29 @@ def hamming_topk(t: Tables) -> DataFrame:
     return found.select("query_id", F.col("path").alias("vec_id"), "distance", "rank")
 
 
-@query()
+def _digest_sql(word: str) -> str:
+    return " || ".join(f"sha256({word} || chr(0) || '{k}')" for k in range(8))
+
+
+@query(
+    f"""WITH w AS (SELECT p_partkey AS id, unnest(string_split(p_name, ' ')) AS word FROM part), x AS (SELECT DISTINCT word FROM w),
+ab AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(tx.ABBREVIATIONS))}) v(k, short, long)),
+m AS (SELECT word, word AS token, 1.0 AS weight FROM x
+  UNION ALL SELECT word, {stem_sql('word')}, 1.0 FROM x
+  UNION ALL SELECT word, (SELECT other FROM (SELECT k, short AS a, long AS other FROM ab UNION ALL SELECT k + 0.5, long, short FROM ab) WHERE a = word ORDER BY k LIMIT 1), 0.75 FROM x),
+t AS (SELECT w.id, token, sum(weight) * CASE WHEN token IN ({", ".join(f"'{c}'" for c in vectors.COMMON_TOKENS)}) THEN 1e-4 / (1e-4 + 1.0 / {len(vectors.COMMON_TOKENS)}) ELSE 1e-4 / (1e-4 + 1.0 / (5000 * {len(vectors.COMMON_TOKENS)})) END AS weight
+  FROM w JOIN m USING (word) WHERE token IS NOT NULL GROUP BY w.id, token),
+h AS (SELECT token, {_digest_sql("token")} AS hex FROM (SELECT DISTINCT token FROM t)),
+v AS (SELECT token, list_transform(range(256), lambda i: ('0x' || hex[2 * i + 1:2 * i + 2])::INTEGER / 127.5::DOUBLE - 1) AS v FROM h),
+u AS (SELECT token, unnest(range(256)) AS i, unnest(v) / sqrt(list_sum(list_transform(v, lambda x: x * x))) AS x FROM v),
+s AS (SELECT id, i, sum(weight * x) AS x FROM t JOIN u USING (token) GROUP BY id, i),
+b AS (SELECT id, i // 64 AS k, sum(CASE WHEN x > 0 THEN (1::HUGEINT << (i % 64)::INTEGER) ELSE 0 END) AS w FROM s GROUP BY id, i // 64)
+SELECT id, {", ".join(f"max(CASE WHEN k = {k} THEN CASE WHEN w >= (1::HUGEINT << 63) THEN w - (1::HUGEINT << 64) ELSE w END END)::BIGINT AS w{k}" for k in range(4))} FROM b GROUP BY id"""
+)
 def fingerprint_projection(t: Tables) -> DataFrame:
-    """256-bit fingerprints of all documents by their title and text."""
-    both = t.files().select(F.col("path").alias("id"), F.explode(F.array(F.struct(F.lit("path").alias("field"), F.col("title").alias("text")), F.struct(F.lit("content").alias("field"), F.col("text").alias("text")))).alias("f")).select("id", "f.field", "f.text")
-    return vectors.project(both)
+    """256-bit fingerprints of the names of all parts."""
+    names = t.raw("part").select(F.col("p_partkey").alias("id"), F.lit("content").alias("field"), F.col("p_name").alias("text"))
+    return vectors.project(names)
 
 
 def _corpus(t: Tables) -> tuple[search.Corpus, DataFrame]:
@@ -438,8 +456,8 @@ def bfs_hops(t: Tables) -> DataFrame:
     with_views(
         "edges",
         """+p AS (SELECT src AS source, dst AS h1 FROM edges WHERE edge_type = 'ordered_by'),
-q AS (SELECT source, e.dst AS h2 FROM p JOIN edges e ON p.h1 = e.src), r AS (SELECT source, e.dst AS target FROM q JOIN edges e ON q.h2 = e.src WHERE e.edge_type = 'in_region')
-SELECT source, target, 3 AS hops FROM r GROUP BY ALL""",
+q AS (SELECT source, h1, e.dst AS h2 FROM p JOIN edges e ON p.h1 = e.src), r AS (SELECT source, h1, h2, e.dst AS target FROM q JOIN edges e ON q.h2 = e.src WHERE e.edge_type = 'in_region')
+SELECT source, target, array_to_string([source, h1, h2, target], ' > ') AS path, 3 AS hops FROM r GROUP BY ALL""",
     )
 )
 def shortest_paths(t: Tables) -> DataFrame:
@@ -448,7 +466,7 @@ def shortest_paths(t: Tables) -> DataFrame:
     homes = t.raw("customer").join(t.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), "n_regionkey")
     name = lambda kind, c: F.concat(F.lit(f"{kind}/"), F.col(c).cast("string"))
     pairs = t.raw("orders").join(homes, "o_custkey").select(name("order", "o_orderkey").alias("source"), name("region", "n_regionkey").alias("target"))
-    return graph.shortest_paths(e, pairs, depth=3).select("source", "target", "hops")
+    return graph.shortest_paths(e, pairs, depth=3).select("source", "target", F.array_join("path", " > ").alias("path"), "hops")
 
 
 @query(
@@ -553,15 +571,15 @@ def edge_upsert(t: Tables) -> DataFrame:
 
 
 @query(
-    with_views(
-        "files",
-        """+g AS (SELECT path, lang AS tag FROM files UNION SELECT path, source FROM files), n AS (SELECT count(DISTINCT path) AS n FROM files),
-f AS (SELECT tag, count(DISTINCT path) AS df FROM g GROUP BY tag), r AS (SELECT g.path, g.tag, ln(n.n / f.df) AS idf FROM g JOIN f USING (tag), n WHERE df <= 50 AND df > 1)
-SELECT a.path AS src, b.path AS dst, round(sum(a.idf), 6) AS weight FROM r a JOIN r b ON a.tag = b.tag AND a.path < b.path GROUP BY ALL HAVING sum(a.idf) > 0""",
-    )
+    """WITH g AS (SELECT 'part/' || p_partkey AS path, p_brand AS tag, p_partkey FROM part UNION SELECT 'part/' || p_partkey, 'batch ' || p_partkey // 20, p_partkey FROM part UNION SELECT 'part/' || p_partkey, p_name || p_size, p_partkey FROM part),
+n AS (SELECT count(DISTINCT path) AS n FROM g), f AS (SELECT tag, count(DISTINCT path) AS df FROM g GROUP BY tag), r AS (SELECT g.path, g.tag, ln(n.n / f.df) AS idf FROM g JOIN f USING (tag), n WHERE df <= 50 AND df > 1)
+SELECT a.path AS src, b.path AS dst, round(sum(a.idf), 6) AS weight FROM r a JOIN r b ON a.tag = b.tag AND a.path < b.path GROUP BY ALL HAVING sum(a.idf) > 0"""
 )
 def shared_tag_edges(t: Tables) -> DataFrame:
-    return rounded(graph.tag_edges(t.tagged()).select("src", "dst", "weight"), "weight")
+    """Parts that share a batch of twenty, or a name and size; brands are too frequent to make pairs."""
+    key = F.col("p_partkey").cast("string")
+    tags = F.array("p_brand", F.concat(F.lit("batch "), F.floor(F.col("p_partkey") / 20).cast("string")), F.concat("p_name", F.col("p_size").cast("string")))
+    return rounded(graph.tag_edges(t.raw("part").select(F.concat(F.lit("part/"), key).alias("path"), tags.alias("tags"))).select("src", "dst", "weight"), "weight")
 
 
 @query(with_views("files", "+g AS (SELECT path, lang AS tag FROM files UNION SELECT path, source FROM files) SELECT tag, count(*) AS df, round(ln((SELECT count(DISTINCT path) FROM files) / count(*)), 6) AS idf FROM g GROUP BY tag"))
@@ -672,12 +690,16 @@ def community_density(t: Tables) -> DataFrame:
     return rounded(community.density(e, graph.nodes_of(e).withColumn("community", F.regexp_extract("node", "^([a-z]+)", 1))), "density", places=9)
 
 
-@query()
+@query("SELECT n_name AS node, min(n_name) OVER (PARTITION BY n_regionkey) AS community, 5::BIGINT AS n FROM nation")
 def communities(t: Tables) -> DataFrame:
-    """Members and modularity of the communities of event types that follow each other."""
-    f = t.follows()
-    found = community.refined(f)
-    return found.join(community.modularity(f, found), F.lit(True))
+    """Nations all linked within their region, and in one ring: the regions are the communities."""
+    n = t.raw("nation")
+    a, b = n.alias("a"), n.alias("b")
+    inside = a.join(b, F.col("a.n_regionkey") == F.col("b.n_regionkey")).filter("a.n_nationkey < b.n_nationkey").select(F.col("a.n_name").alias("src"), F.col("b.n_name").alias("dst"), F.lit(1.0).alias("weight"))
+    ring = a.join(b, F.col("b.n_nationkey") == F.col("a.n_nationkey") + 1).select(F.col("a.n_name").alias("src"), F.col("b.n_name").alias("dst"), F.lit(0.05).alias("weight"))
+    found = community.refined(inside.unionByName(ring))
+    named = found.groupBy("community").agg(F.min("node").alias("first"), F.count("*").alias("n"))
+    return found.join(named, "community").select("node", F.col("first").alias("community"), "n")
 
 
 @query(
@@ -781,14 +803,22 @@ def broken_links(t: Tables) -> DataFrame:
     return validate.broken_links(links, pages.select(F.col("url").alias("path")))
 
 
-@query()
+@query("SELECT page_id, replace(replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1), E' \\n\\t'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&') AS title, len(regexp_extract_all(html, '<a [^>]*href')) AS n_links FROM pages")
 def html_pages(t: Tables) -> DataFrame:
-    return sources.html_pages(t.raw("pages"), "page_id").select("page_id", "title", F.size("links").alias("n_links"), "markdown")
+    return sources.html_pages(t.raw("pages"), "page_id").select("page_id", F.coalesce("title", F.lit("")).alias("title"), F.size("links").cast("long").alias("n_links"))
 
 
-@query()
+@query(
+    """WITH d AS (SELECT 'doc/' || doc_id || '.md' AS path, regexp_replace(coalesce(text, ''), '[^a-zA-Z \\n]', 'x', 'g') AS text FROM documents)
+SELECT path, true AS bounded, true AS ordered, md5(array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), ' ')) AS words FROM d WHERE trim(text, E' \\n') <> ''"""
+)
 def heading_chunks(t: Tables) -> DataFrame:
-    return chunk.chunk(t.files())
+    """The heading chunker's chunks of plain texts hold all their words in order, none is too large, and they follow each other."""
+    made = chunk.chunk(t.files().withColumn("text", F.regexp_replace("text", "[^a-zA-Z \n]", "x")))
+    per = made.groupBy("path").agg(F.max(F.octet_length("text")).alias("largest"), F.array_sort(F.collect_list(F.struct("chunk_index", "start_byte", "text"))).alias("c"))
+    words = F.filter(F.split(F.array_join(F.transform("c", lambda x: x["text"]), " "), r"\s+"), lambda w: w != "")
+    starts = F.transform("c", lambda x: x["start_byte"])
+    return per.select("path", (F.col("largest") <= 4096).alias("bounded"), (starts == F.sort_array(starts)).alias("ordered"), F.md5(F.array_join(words, " ")).alias("words"))
 
 
 @query(
@@ -901,8 +931,11 @@ def debounced_changes(t: Tables) -> DataFrame:
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS seq FROM events GROUP BY user_id")
 def stream_upsert(t: Tables) -> DataFrame:
+    """The later half of all events upserted into what the first half left."""
     rows = t.raw("events").select("user_id", "event_type", F.col("event_id").alias("seq"))
-    return sync.upsert(rows.filter("seq < 0"), rows, "user_id")
+    half = t.raw("events").count() // 2  # one number
+    first = sync.upsert(rows.limit(0), rows.filter(F.col("seq") < half), "user_id")
+    return sync.upsert(first, rows.filter(F.col("seq") >= half), "user_id")
 
 
 @query("SELECT path, title FROM (SELECT 'doc/' || doc_id || '.md' AS path, source AS title FROM documents) ORDER BY path LIMIT 100 OFFSET 50")
@@ -968,12 +1001,17 @@ def sliding_windows(t: Tables) -> DataFrame:
     return rounded(sync.windowed(t.raw("events"), "10 minutes", "5 minutes"), "total")
 
 
-@query(with_views("symbols", "SELECT 'main' AS corpus, name, path, start_line AS line, 'defines' AS role FROM symbols ORDER BY path, line, name LIMIT 100"))
+@query(
+    with_views(
+        "symbols",
+        """+i AS (SELECT 'c' || id % 2 AS corpus, name, path, start_line + 1 AS line, CASE WHEN id % 3 = 0 THEN 'defines' ELSE 'uses' END AS role FROM symbols WHERE id % 2 = 0 AND id % 5 < 3),
+f AS (SELECT 'c' || id % 2 AS corpus, name, path, start_line AS line, 'defines' AS role FROM symbols),
+a AS (SELECT * FROM i UNION ALL SELECT * FROM f WHERE (corpus, name) NOT IN (SELECT corpus, name FROM i))
+SELECT corpus, name, path, line, role FROM a ORDER BY corpus, path, line, name, role LIMIT 100""",
+    )
+)
 def where_defined(t: Tables) -> DataFrame:
-    """Identifiers of every name; none are indexed, so symbols answer."""
-    s = t.symbols().withColumn("corpus", F.lit("main"))
-    none = s.filter("id < 0").select("corpus", "name", "path", F.col("start_line").alias("line"), F.lit("uses").alias("role"))
-    return catalog.where(none, s, s.select("name"))
-
-
-__all__ = ["ORACLE_SQL", "QUERIES", "hamming"]
+    """Names in two corpora: one has identifiers of most names, the other none, so symbols answer."""
+    s = t.symbols().withColumn("corpus", F.concat(F.lit("c"), (F.col("id") % 2).cast("string")))
+    known = s.filter("id % 2 = 0 and id % 5 < 3").select("corpus", "name", "path", (F.col("start_line") + 1).alias("line"), F.when(F.col("id") % 3 == 0, "defines").otherwise("uses").alias("role"))
+    return catalog.where(known, s, s.select("name"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataq.functions import text as tx
+
 
 class Tables:
     """Lazy tables of a directory of Parquet files."""
@@ -105,3 +107,14 @@ def with_views(names: str, body: str, recursive: bool = False) -> str:
         add(n)
     views = ", ".join(f"{n} AS ({VIEWS[n]})" for n in wanted)
     return f"WITH {'RECURSIVE ' if recursive else ''}{views}{', ' if body.lstrip().startswith('+') else ' '}{body.lstrip().removeprefix('+')}"
+
+
+def stem_sql(w: str) -> str:
+    """The suffix rules in their order; a doubled letter before ``ing`` is single."""
+    cases = []
+    for suffix, dropped, ending, longer in tx.STEM_RULES:
+        base = f"left({w}, length({w}) - {dropped})"
+        if suffix == "ing":
+            base = f"CASE WHEN length({base}) > 2 AND {base}[-1] = {base}[-2] THEN left({base}, length({base}) - 1) ELSE {base} END"
+        cases.append(f"WHEN {w} LIKE '%{suffix}' AND length({w}) > {longer}" + (f" AND {w} NOT LIKE '%ss'" if suffix == "s" else "") + f" THEN {base} || '{ending}'")
+    return f"CASE WHEN length({w}) <= 4 THEN NULL {' '.join(cases)} END"

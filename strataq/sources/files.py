@@ -372,7 +372,3 @@ def enclosing_manifest(files: DataFrame, found: DataFrame) -> DataFrame:
     up = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), "/").alias("dir"), n.alias("depth")))
     each = files.select("path", F.explode(up).alias("u")).select("path", "u.dir", "u.depth")
     return each.join(found, "dir").groupBy("path").agg(F.max_by(F.struct("dir", "manager", "package", "version"), "depth").alias("m")).select("path", "m.*")
-
-
-def unescape(text: str) -> str:
-    return html.unescape(text)

@@ -64,29 +64,38 @@ def sync(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint:
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2 seconds")).start()
 
 
-def table_sync(table: str) -> Callable[[DataFrame, int], None]:
-    """An ``apply`` for ``sync`` that keeps a table of versions under ``table``; a batch that comes again rewrites
-    the version it made. ``latest`` reads the last whole one."""
+#: Batches after which the changes of a table are put together.
+COMPACT = 64
+
+
+def table_sync(table: str, key: str = "path", compact_every: int = COMPACT) -> Callable[[DataFrame, int], None]:
+    """An ``apply`` for ``sync`` that keeps a table under ``table``: each batch adds a folder of its own changes, and
+    only every so many batches are they put together. A batch that comes again rewrites its folder. ``latest`` reads
+    the whole table."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = latest(spark, table, number)
-        rows = batch.withColumn("seq", F.lit(number))
-        after = rows if before is None else upsert(before, rows)
-        after.write.mode("overwrite").parquet(f"{table}/v{number:08d}")
+        batch.withColumn("seq", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{table}/changes-{number:08d}")
+        if (number + 1) % compact_every == 0:
+            latest(batch.sparkSession, table, number + 1, key).write.mode("overwrite").parquet(f"{table}/whole-{number:08d}")
 
     return apply
 
 
-def latest(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
-    """The last version of a table that was written whole (before a batch, if given)."""
+def latest(spark: SparkSession, table: str, before: int | None = None, key: str = "path") -> DataFrame | None:
+    """A table's rows after all batches that were written whole (or those before one): of each key the last."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return None
-    names = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("v"))
-    whole = [n for n in names if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/{n}/_SUCCESS")) and (before is None or int(n[1:]) < before)]
-    return spark.read.parquet(f"{table}/{whole[-1]}") if whole else None
+    names = sorted(s.getPath().getName() for s in fs.listStatus(path))
+    done = [n for n in names if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/{n}/_SUCCESS")) and (before is None or int(n[-8:]) < before)]
+    base = max((n for n in done if n.startswith("whole-")), default=None)
+    read = [n for n in done if n.startswith("changes-") and (base is None or n[-8:] > base[-8:])]
+    if base is None and not read:
+        return None
+    rows = spark.read.parquet(*[f"{table}/{n}" for n in ([base] if base else []) + read])
+    last = Window.partitionBy(key).orderBy(F.desc("seq"))
+    return rows.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
 
 
 def stale(vectors: DataFrame, model: str) -> DataFrame:
