@@ -22,6 +22,13 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BR
     return F.broadcast(df) if measured["n"] <= rows and measured["bytes"] <= size else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table as it is read, dealt out anew if it comes in fewer parts than there are cores: a file of one row group
+    is read by one task. A table of many files is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared checkpoint folder; loops that grow a plan cut it here. Where no folder is
     set, a temporary one on a local master, else an error."""

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataq.functions.scale import cut
+from strataq.functions.scale import broadcast_if_small, cut
 
 CUT_EVERY = 3
 #: Weight of an edge by its type.
@@ -158,9 +158,9 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int, types: list[str] | None
     frontier = cut(seeds.select("seed", "node").distinct().withColumn("hops", F.lit(0)))
     levels = [frontier]
     for d in range(1, depth + 1):
-        step = frontier.join(hop, frontier["node"] == hop["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        seen = reduce(DataFrame.unionByName, levels).select("seed", "node")
-        frontier = step.join(seen, ["seed", "node"], "left_anti").withColumn("hops", F.lit(d))
+        step = frontier.join(hop, frontier["node"] == hop["src"]).select("seed", F.col("dst").alias("node"), F.lit(d).alias("hops"))
+        # new is what was not reached in fewer hops: one aggregation for both, distinct and the comparison
+        frontier = reduce(DataFrame.unionByName, [*levels, step]).groupBy("seed", "node").agg(F.min("hops").alias("hops")).filter(F.col("hops") == d)
         if d < depth:
             frontier = cut(frontier)  # each level is computed once, of the one before
             if frontier.isEmpty():
@@ -270,22 +270,21 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.5
     compared by equality here, hybrid being no wildcard.
     """
     own = edges if edge_class is None else edges.filter(F.col("class") == edge_class)
-    links = own.select("src", "dst").union(own.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    # parallel edges as one with a number, and each node's degree beside its links: made once, read at each step
-    links = links.groupBy("src", "dst").agg(F.count("*").alias("times"))
-    links = cut(links.join(links.groupBy("src").agg(F.sum("times").alias("degree")), "src"))
+    held = cut(own.select("src", "dst"))
+    links = held.union(held.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     raised = seeds.groupBy("seed", "node").agg(F.greatest(F.max("weight"), F.lit(floor)).alias("w"))
     total = Window.partitionBy("seed")
     start = cut(raised.select("seed", "node", (F.col("w") / F.sum("w").over(total)).alias("p0")))
     p = start.withColumnRenamed("p0", "p")
-    for k in range(iterations):
-        met = p.filter("p >= 1e-9").join(links, F.col("node") == F.col("src"), "left")
-        share = F.when(F.col("dst").isNull(), F.col("p")).otherwise(F.col("p") * F.col("times") / F.col("degree"))
+    for _ in range(iterations):
+        live = cut(p.filter("p >= 1e-9"))
+        near = links.join(broadcast_if_small(live.select(F.col("node").alias("src")).distinct()), "src", "left_semi")
+        degree = near.groupBy("src").agg(F.count("*").alias("degree"))
+        met = live.join(near.join(degree, "src"), F.col("node") == F.col("src"), "left")
+        share = F.when(F.col("dst").isNull(), F.col("p")).otherwise(F.col("p") / F.col("degree"))
         back = start.select("seed", "node", (alpha * F.col("p0")).alias("p"))
         spread = met.select("seed", F.coalesce("dst", "node").alias("node"), ((1 - alpha) * share).alias("p"))
         p = spread.unionByName(back).groupBy("seed", "node").agg(F.sum("p").alias("p"))
-        if (k + 1) % CUT_EVERY == 0 and k + 1 < iterations:
-            p = cut(p)
     return p.withColumnRenamed("p", "score")
 
 
@@ -294,6 +293,7 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.5
 
 def graph_stats(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """metric, name, value: nodes, edges, orphans, edges by type, the ten nodes of highest degree."""
+    edges = cut(edges.select("src", "dst", "edge_type"))  # read five times below
     degree = degrees(edges).withColumn("degree", F.col("in_degree") + F.col("out_degree"))
     all_nodes = nodes.select("node").union(nodes_of(edges)).distinct()
     row = lambda metric: (F.lit(metric).alias("metric"), F.lit("").alias("name"), F.count("*").alias("value"))

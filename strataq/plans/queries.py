@@ -803,9 +803,9 @@ def broken_links(t: Tables) -> DataFrame:
     return validate.broken_links(links, pages.select(F.col("url").alias("path")))
 
 
-@query("SELECT page_id, replace(replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1), E' \\n\\t'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&') AS title, len(regexp_extract_all(html, '<a [^>]*href')) AS n_links FROM pages")
+@query("SELECT page_id, replace(replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1), E' \\n\\t'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&') AS title, len(regexp_extract_all(regexp_replace(html, '<nav>.*?</nav>', '', 'gs'), '<a [^>]*href')) AS n_links, len(regexp_extract_all(html, '<h1>')) AS n_headings FROM pages")
 def html_pages(t: Tables) -> DataFrame:
-    return sources.html_pages(t.raw("pages"), "page_id").select("page_id", F.coalesce("title", F.lit("")).alias("title"), F.size("links").cast("long").alias("n_links"))
+    return sources.html_pages(t.raw("pages"), "page_id").select("page_id", F.coalesce("title", F.lit("")).alias("title"), F.size("links").cast("long").alias("n_links"), F.regexp_count("markdown", F.lit("(?m)^# ")).cast("long").alias("n_headings"))
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.functions import text as tx
+from strataq.functions.scale import spread
 
 
 class Tables:
@@ -19,7 +20,7 @@ class Tables:
 
     def files(self) -> DataFrame:
         path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".md"))
-        return self.raw("documents").select(path.alias("path"), "text", F.col("source").alias("title"), F.when(F.col("lang") == "en", "docs").otherwise("code").alias("modality"), "lang", "source")
+        return spread(self.raw("documents")).select(path.alias("path"), "text", F.col("source").alias("title"), F.when(F.col("lang") == "en", "docs").otherwise("code").alias("modality"), "lang", "source")
 
     def chunks(self) -> DataFrame:
         return self.files().select("path", "title", "modality", F.posexplode(F.split("text", "\n")).alias("chunk_index", "text"))
