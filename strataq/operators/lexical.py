@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataq.functions.scale import broadcast_if_small, cut
@@ -54,14 +54,17 @@ def term_stats(index: DataFrame) -> DataFrame:
     return index.groupBy("term", "field").agg(F.count("*").alias("df"))
 
 
-def _hits(words: Column, terms: list[str]) -> Column:
-    """The words that are terms; with very many terms all words, as the scorer looks them up anyway."""
-    return F.filter(words, lambda w: w.isin(terms)) if len(terms) <= PUSHED_TERMS else words
+def _hits(words: str, terms: list[str]) -> str:
+    """SQL for the words that are terms; with very many terms all words, as the scorer looks them up anyway. One text
+    for all terms, which are letters and digits only: a call for each would take longer than the query."""
+    listed = ", ".join(f"'{t}'" for t in terms)
+    return f"filter({words}, w -> w IN ({listed}))" if 0 < len(terms) <= PUSHED_TERMS else words
 
 
 def _statistics(chunks: DataFrame, terms: list[str]) -> tuple[dict[str, tuple[int, float]], dict[tuple[str, str], int]]:
     """n and avgdl of each field, df of each (field, term): one pass, of which twice the terms come to the driver."""
-    each = fields(chunks).select("field", F.size("words").alias("dl"), F.explode(F.array_append(F.array_distinct(_hits(F.col("words"), terms)), F.lit(""))).alias("term"))
+    hits = F.expr(f"array_append(array_distinct({_hits('words', terms)}), '')")
+    each = fields(chunks).select("field", F.size("words").alias("dl"), F.explode(hits).alias("term"))
     counts = each.groupBy("field", "term").agg(F.count("*").alias("n"), F.sum("dl").alias("dl"))
     if len(terms) > PUSHED_TERMS:
         counts = counts.join(F.broadcast(chunks.sparkSession.createDataFrame([("",), *((t,) for t in terms)], "term string")), "term")
@@ -87,8 +90,8 @@ def _by_partition(chunks: DataFrame, asked: DataFrame, k: int | None, modality:
     rows = chunks if modality in (None, "both") else chunks.filter(F.col("modality") == modality)
     columns = ["path", "chunk_index"]
     for name, text in (("title", "title"), ("body", "text")):
-        words = F.transform(F.array(tokens(F.col(text))), lambda w: F.struct(F.size(w).alias("dl"), _hits(w, terms).alias("hits")))[0]
-        rows = rows.withColumn(name + "_words", words)
+        rows = rows.withColumn(f"{name}_tokens", F.array(tokens(F.col(text))))
+        rows = rows.withColumn(f"{name}_words", F.expr(f"transform({name}_tokens, t -> struct(size(t) AS dl, {_hits('t', terms)} AS hits))[0]"))
         columns += [F.col(f"{name}_words.dl").alias(f"{name}_dl"), F.col(f"{name}_words.hits").alias(f"{name}_hits")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
