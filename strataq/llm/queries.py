@@ -15,18 +15,22 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each document: three-word shingles, links at three bits. Cases: ``simhash.near_duplicates``."""
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document. Cases: ``mix.mix``."""
     return mix.mix(read_table(spark, sf_dir, "documents")).drop("text_key", "times")
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of each hundredth vector, against all. Cases: ``ann.nearest``."""
     return ann.nearest(read_table(spark, sf_dir, "embeddings"))
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one more formatted and read back. Cases: ``chat.format_chats``."""
     said = "<|im_end|><|im_start|>assistant ok"
     extra = F.array(*[F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text")) for k, role in enumerate(("user", "assistant"))])
     rows = spark.range(1).select(F.explode(extra).alias("r")).select("r.*")
@@ -34,14 +38,17 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of benchmark items in all documents. Cases: ``decontaminate.contamination``."""
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
 def op6_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses of which a stretch of a document is a notice or text. Cases: ``license.licenses``."""
     return license.licenses(read_table(spark, sf_dir, "documents"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for each document. Cases: ``quality.classify``."""
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
@@ -59,10 +66,12 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for each document. Cases: ``toxicity.classify``."""
     return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shard and a slot for each document; the law is that counts are at most one apart. Cases: ``shard.assign``."""
     found = shard.assign(read_table(spark, sf_dir, "documents")).drop("group")
     return found.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
 
