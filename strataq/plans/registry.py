@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lookups
+from . import artifacts, lookups
 from .queries import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "lookups"]
+__all__ = ["ORACLE_SQL", "QUERIES", "artifacts", "lookups"]

@@ -1,6 +1,6 @@
 """Python source to symbols, chunks, edges, call sites and references, by the standard parser.
 
-Other languages need grammars that are not installed; their files go through the generic text source.
+Languages with braces go through ``languages``, what is left through the generic text source.
 """
 
 from __future__ import annotations
@@ -90,10 +90,21 @@ def _walked(path: str, text: str | None) -> _Walk | None:
     return walk
 
 
+SCHEMA = f"kind string, {_SYMBOL}, src string, dst string, edge_type string, weight double, caller string, receiver string, callee string, line int"
+
+
+def rows_of(path: str, symbols: list[tuple], edges: list[tuple], calls: list[tuple]) -> list[dict]:
+    """Rows of SCHEMA of one file."""
+    names = [c.split()[0] for c in _SYMBOL.split(", ")]
+    rows = [{"kind": "symbol", **dict(zip(names, s, strict=True))} for s in symbols]
+    rows += [{"kind": "edge", "path": path, "src": a, "dst": b, "edge_type": t, "weight": w} for a, b, t, w in edges]
+    return rows + [{"kind": "call", "path": p, "caller": c, "receiver": r, "callee": e, "line": n} for c, p, r, e, n in calls]
+
+
 def parse(files: DataFrame) -> DataFrame:
     """kind (symbol, edge, call) and the columns of each, of Python files (path, text). What doesn't parse, and
     files beyond MAX_FILE_BYTES, give nothing."""
-    schema = f"kind string, {_SYMBOL}, src string, dst string, edge_type string, weight double, caller string, receiver string, callee string, line int"
+    schema = SCHEMA
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = {"int": pa.int32(), "double": pa.float64(), "string": pa.string()}
     types = [kinds[c.split()[1]] for c in schema.split(", ")]
@@ -104,9 +115,7 @@ def parse(files: DataFrame) -> DataFrame:
             for path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 walk = _walked(path, text)
                 if walk:
-                    rows += [{"kind": "symbol", **dict(zip(names[1:10], s, strict=True))} for s in walk.symbols]
-                    rows += [{"kind": "edge", "path": path, "src": a, "dst": b, "edge_type": t, "weight": w} for a, b, t, w in walk.edges]
-                    rows += [{"kind": "call", "path": p, "caller": c, "receiver": r, "callee": e, "line": n} for c, p, r, e, n in walk.calls]
+                    rows += rows_of(path, walk.symbols, walk.edges, walk.calls)
             yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(names, types, strict=True)], names)
 
     return files.select("path", "text").mapInArrow(run, schema)
