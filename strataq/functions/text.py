@@ -204,6 +204,35 @@ def directory_key(path: Column, depth: int = 3) -> Column:
     return F.array_join(F.slice(parts, 1, F.least(F.lit(depth), F.greatest(F.size(parts) - 1, F.lit(1)))), "/")
 
 
+def fnv1a(text: Column) -> Column:
+    """The 32-bit FNV-1a hash of a text's UTF-8 bytes, as a long."""
+    raw = F.encode(text, "UTF-8")
+    places = F.when(F.octet_length(raw) > 0, F.sequence(F.lit(1), F.octet_length(raw))).otherwise(F.array().cast("array<int>"))
+    byte = lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("long")
+    return F.aggregate(places, F.lit(0x811C9DC5).cast("long"), lambda h, i: (h.bitwiseXOR(byte(i)) * 0x01000193).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+
+
+# Colours by kind of entity, and those of communities for other kinds.
+ENTITY_COLORS = (
+    (("docnode", "doc", "document", "markdown"), 0x3B82F6),
+    (("function", "method"), 0x10B981),
+    (("struct", "class"), 0x8B5CF6),
+    (("trait", "interface"), 0xEC4899),
+    (("enum", "typealias", "type"), 0xF59E0B),
+    (("module", "file", "package"), 0x06B6D4),
+    (("constant", "macro"), 0x14B8A6),
+)
+COMMUNITY_COLORS = (0x3B82F6, 0x10B981, 0x8B5CF6, 0xF59E0B, 0xEC4899, 0x06B6D4, 0x14B8A6, 0x6366F1, 0xE11D48, 0x84CC16)
+
+
+def entity_color(kind: Column, community: Column) -> Column:
+    """The colour of an entity by its kind, else by its community, as a number 0xRRGGBB."""
+    found = F.element_at(F.array(*[F.lit(c) for c in COMMUNITY_COLORS]), (F.pmod(community, F.lit(len(COMMUNITY_COLORS))) + 1).cast("int"))
+    for kinds, color in reversed(ENTITY_COLORS):
+        found = F.when(F.lower(kind).isin(*kinds), F.lit(color)).otherwise(found)
+    return found
+
+
 def embed_text(heading: Column, section: Column, text: Column) -> Column:
     """``title > section: text``, or with whichever of both is there."""
     head = F.concat_ws(" > ", F.nullif(heading, F.lit("")), F.nullif(section, F.lit("")))

@@ -108,26 +108,40 @@ def _folder(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
-def resolve_calls(pending: DataFrame, symbols: DataFrame) -> DataFrame:
+def resolve_calls(pending: DataFrame, symbols: DataFrame, imports: DataFrame | None = None) -> DataFrame:
     """src, dst, edge_type, weight, confidence of calls (caller, caller_path, receiver, callee) to symbols by name.
 
-    In order: a symbol of the same file; one whose scope has the receiver's type; a single candidate; one of the
-    same directory; else the first. The first three are high, the fourth medium, the last speculative.
+    In order: a symbol of the same file; one whose scope has the receiver's type; one of a module that the file
+    imports under the receiver's name; one of a module that it imports the callee's name from; a single candidate;
+    one of the same directory; else the first. Those before the directory are high, that is medium, the last
+    speculative. ``imports``: path, name, target (a prefix of paths, as ``text.normalize_import`` gives it).
     """
     p = pending.withColumn("called", leaf(F.col("callee"))).withColumn("ref", F.xxhash64("caller", "caller_path", "callee"))
     c = symbols.select(F.col("name").alias("called"), F.col("scope_path").alias("dst"), F.col("path").alias("target_path"))
     met = p.join(c, "called")
+    module = explicit = F.lit(False)
+    if imports is not None:
+        said = imports.select(F.col("path").alias("caller_path"), "name", "target").distinct()
+        named = said.groupBy("caller_path").agg(F.collect_set(F.struct("name", "target")).alias("imported"))  # a file's imports
+        met = met.join(named, "caller_path", "left")
+
+        def from_(name: Column) -> Column:
+            return F.coalesce(F.exists("imported", lambda i: (i["name"] == name) & F.col("target_path").startswith(i["target"])), F.lit(False))
+
+        module, explicit = from_(F.col("receiver")), from_(F.col("called"))
     by_ref = Window.partitionBy("ref")
     typed = F.coalesce(F.col("receiver"), F.lit("")) != ""
     tier = (
         F.when(F.col("target_path") == F.col("caller_path"), 1)
         .when(typed & F.col("dst").contains(F.coalesce(F.col("receiver"), F.lit(""))), 2)
-        .when(F.count("*").over(by_ref) == 1, 3)
-        .when(_folder(F.col("target_path")) == _folder(F.col("caller_path")), 4)
-        .otherwise(5)
+        .when(module, 3)
+        .when(explicit, 4)
+        .when(F.count("*").over(by_ref) == 1, 5)
+        .when(_folder(F.col("target_path")) == _folder(F.col("caller_path")), 6)
+        .otherwise(7)
     )
     best = met.withColumn("tier", tier).withColumn("_n", F.row_number().over(by_ref.orderBy("tier", "target_path", "dst"))).filter("_n = 1")
-    confidence = F.when(F.col("tier") <= 3, "high").when(F.col("tier") == 4, "medium").otherwise("speculative")
+    confidence = F.when(F.col("tier") <= 5, "high").when(F.col("tier") == 6, "medium").otherwise("speculative")
     calls = best.select(F.col("caller").alias("src"), "dst", F.lit("calls").alias("edge_type"), F.lit(0.8).alias("weight"), confidence.alias("confidence"))
     tests = best.filter(F.lower(F.concat_ws(" ", "caller", "caller_path")).rlike("test|spec")).select(F.col("caller").alias("src"), "dst", F.lit("tests").alias("edge_type"), F.lit(0.9).alias("weight"), confidence.alias("confidence"))
     return calls.unionByName(tests).distinct()

@@ -5,7 +5,7 @@ All take a table of queries. ``Corpus`` names the tables a search needs; those t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from strataq.functions.scale import broadcast_if_small, cut
 
 from . import graph
-from .fusion import K, clean_path, concat_partitions, first_rank, is_code_path, ranked, rrf, union_lists
+from .fusion import K, clean_path, concat_partitions, dedup_hits, first_rank, is_code_path, ranked, rrf, union_lists
 from .lexical import bm25, query_terms
 from .vectors import hamming_topk, semantic, vector_topk
 
@@ -300,20 +300,46 @@ def symbol_at(results: DataFrame, symbols: DataFrame) -> DataFrame:
     return met.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_id", "s_start", "s_end")
 
 
+#: A ranking algorithm: the corpus, queries (query_id, text, ..) and how many results, to query_id, rank, path, score.
+Algorithm = Callable[[Corpus, DataFrame, int], DataFrame]
+
+
+def _merged(*names: str) -> Algorithm:
+    """First ranks of several algorithms, each taken at more than the limit, fused."""
+
+    def run(corpus: Corpus, queries: DataFrame, limit: int) -> DataFrame:
+        return rrf(union_lists({n: first_rank(ALGORITHMS[n](corpus, queries, OVERFETCH * limit)) for n in names}), limit)
+
+    return run
+
+
+#: By name; others can be added.
+ALGORITHMS: dict[str, Algorithm] = {
+    "bm25": lambda c, q, n: bm25(c.chunks, q, n),
+    "binary": lambda c, q, n: hamming_topk(c.prints, q, n, prior=False),
+    "binary_v3": lambda c, q, n: hamming_topk(c.prints, q, n),
+    "semantic": lambda c, q, n: semantic(c.vectors, q, n),
+    "ppr": lambda c, q, n: name_pagerank(c, q, n),
+    "fast": _merged("bm25", "binary", "ppr"),
+    "hybrid": _merged("bm25", "semantic", "ppr"),
+}
+
+
 def algorithm(name: str, corpus: Corpus, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """A ranking algorithm by name, as the registry offers them."""
-    takes = {
-        "bm25": lambda: bm25(corpus.chunks, queries, limit),
-        "binary": lambda: hamming_topk(corpus.prints, queries, limit, prior=False),
-        "binary_v3": lambda: hamming_topk(corpus.prints, queries, limit),
-        "semantic": lambda: semantic(corpus.vectors, queries, limit),
-        "ppr": lambda: name_pagerank(corpus, queries, limit),
-        "fast": lambda: rrf(union_lists({"bm25": first_rank(bm25(corpus.chunks, queries, OVERFETCH * limit)), "binary": first_rank(hamming_topk(corpus.prints, queries, OVERFETCH * limit)), "ppr": first_rank(name_pagerank(corpus, queries, OVERFETCH * limit))}), limit),
-        "hybrid": lambda: rrf(union_lists({"bm25": first_rank(bm25(corpus.chunks, queries, OVERFETCH * limit)), "semantic": first_rank(semantic(corpus.vectors, queries, OVERFETCH * limit)), "ppr": first_rank(name_pagerank(corpus, queries, OVERFETCH * limit))}), limit),
-    }
-    if name not in takes:
+    """The results of an algorithm by its name, as it gives them."""
+    if name not in ALGORITHMS:
         raise ValueError(f"no algorithm {name!r}")
-    return takes[name]()
+    return ALGORITHMS[name](corpus, queries, limit)
+
+
+def isolated(name: str, corpus: Corpus, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """One algorithm alone: taken at more than the limit, hits of the same file merged (``fusion.dedup_hits``)."""
+    found = algorithm(name, corpus, queries, OVERFETCH * limit)
+    if "chunk_index" in found.columns:
+        found = found.join(corpus.chunks.select("path", "chunk_index", "text"), ["path", "chunk_index"], "left")
+    else:
+        found = found.withColumn("text", F.lit(None).cast("string"))
+    return dedup_hits(found.select("query_id", "path", "score", "text"), queries, limit)
 
 
 def name_pagerank(corpus: Corpus, queries: DataFrame, limit: int = 10, alpha: float = 0.85, iterations: int = 10) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataq.functions import text as tx
 from strataq.functions import vector as vec
-from strataq.operators import analytics, catalog, chunk, federation, fusion, graph, lexical, pattern, search, validate, vectors
+from strataq.functions.scale import cut
+from strataq.operators import analytics, catalog, chunk, federation, fusion, graph, lexical, lifecycle, pattern, search, validate, vectors
 from strataq.operators.vectors import sign_prints
 from strataq.sources import files as sources
 
@@ -349,6 +353,12 @@ def call_sites(t: Tables) -> DataFrame:
 CANDIDATES_SQL = "c AS (SELECT 'fn' || p_partkey % 40 AS name, 'Type' || p_partkey % 5 || ' > fn' || p_partkey % 40 || '#' || p_partkey AS dst, 'src/d' || p_partkey % 6 || '/f' || p_partkey % 60 || '.py' AS target FROM part WHERE p_partkey < 150)"
 
 
+def _candidates(t: Tables) -> DataFrame:
+    p, s = F.col("p_partkey"), lambda c: c.cast("string")
+    name = F.concat(F.lit("fn"), s(p % 40))
+    return t.raw("part").filter("p_partkey < 150").select(name.alias("name"), F.concat(F.lit("Type"), s(p % 5), F.lit(" > "), name, F.lit("#"), s(p)).alias("scope_path"), F.concat(F.lit("src/d"), s(p % 6), F.lit("/f"), s(p % 60), F.lit(".py")).alias("path"))
+
+
 @query(
     f"""WITH {CANDIDATES_SQL},
 p AS (SELECT DISTINCT 'caller' || o_custkey % 300 AS caller, 'src/d' || o_custkey % 8 || '/f' || o_custkey % 70 || '.py' AS path, CASE WHEN o_custkey % 2 = 0 THEN 'Type' || o_custkey % 5 END AS receiver, 'fn' || o_orderkey % 45 AS called FROM orders),
@@ -363,10 +373,28 @@ def calls_resolved(t: Tables) -> DataFrame:
     k, s = F.col("o_custkey"), lambda c: c.cast("string")
     path = F.concat(F.lit("src/d"), s(k % 8), F.lit("/f"), s(k % 70), F.lit(".py"))
     pending = t.raw("orders").select(F.concat(F.lit("caller"), s(k % 300)).alias("caller"), path.alias("caller_path"), F.when(k % 2 == 0, F.concat(F.lit("Type"), s(k % 5))).alias("receiver"), F.concat(F.lit("fn"), s(F.col("o_orderkey") % 45)).alias("callee")).distinct()
-    p = F.col("p_partkey")
-    name = F.concat(F.lit("fn"), s(p % 40))
-    symbols = t.raw("part").filter("p_partkey < 150").select(name.alias("name"), F.concat(F.lit("Type"), s(p % 5), F.lit(" > "), name, F.lit("#"), s(p)).alias("scope_path"), F.concat(F.lit("src/d"), s(p % 6), F.lit("/f"), s(p % 60), F.lit(".py")).alias("path"))
-    return catalog.resolve_calls(pending, symbols).select("src", "dst", "edge_type", "confidence")
+    return catalog.resolve_calls(pending, _candidates(t)).select("src", "dst", "edge_type", "confidence")
+
+
+@query(
+    f"""WITH {CANDIDATES_SQL},
+p AS (SELECT DISTINCT 'caller' || o_custkey % 300 AS caller, 'app/x' || o_custkey % 70 || '.py' AS path, CASE WHEN o_custkey % 3 = 0 THEN 'mod' END AS receiver, 'fn' || o_orderkey % 45 AS called FROM orders),
+i AS (SELECT 'app/x' || k || '.py' AS path, 'mod' AS name, 'src/d' || k % 6 AS target FROM range(70) r(k) UNION ALL SELECT 'app/x' || k || '.py', 'fn' || k % 40, 'src/d' || (k + 1) % 6 FROM range(70) r(k)),
+t AS (SELECT p.*, c.dst, c.target, CASE WHEN receiver IS NOT NULL AND contains(dst, receiver) THEN 2 WHEN EXISTS (SELECT 1 FROM i WHERE i.path = p.path AND i.name = receiver AND starts_with(c.target, i.target)) THEN 3
+  WHEN EXISTS (SELECT 1 FROM i WHERE i.path = p.path AND i.name = called AND starts_with(c.target, i.target)) THEN 4 WHEN count(*) OVER (PARTITION BY p.caller, p.path, called) = 1 THEN 5 ELSE 7 END AS tier FROM p JOIN c ON c.name = p.called),
+b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY caller, path, called ORDER BY tier, target, dst) = 1)
+SELECT DISTINCT caller AS src, dst, CASE WHEN tier <= 5 THEN 'high' ELSE 'speculative' END AS confidence FROM b"""
+)
+def imported_calls(t: Tables) -> DataFrame:
+    """Calls through a module that the file imports, and of names that it imports from one."""
+    k, s = F.col("o_custkey"), lambda c: c.cast("string")
+    pending = t.raw("orders").select(F.concat(F.lit("caller"), s(k % 300)).alias("caller"), F.concat(F.lit("app/x"), s(k % 70), F.lit(".py")).alias("caller_path"), F.when(k % 3 == 0, "mod").alias("receiver"), F.concat(F.lit("fn"), s(F.col("o_orderkey") % 45)).alias("callee")).distinct()
+    n = F.col("id")
+    path = F.concat(F.lit("app/x"), s(n), F.lit(".py")).alias("path")
+    files = t.spark.range(70)
+    imports = files.select(path, F.lit("mod").alias("name"), F.concat(F.lit("src/d"), s(n % 6)).alias("target")).unionByName(files.select(path, F.concat(F.lit("fn"), s(n % 40)).alias("name"), F.concat(F.lit("src/d"), s((n + 1) % 6)).alias("target")))
+    done = catalog.resolve_calls(pending, _candidates(t), imports).filter("edge_type = 'calls'")
+    return done.select("src", "dst", "confidence")
 
 
 @query(
@@ -736,3 +764,56 @@ def page_texts(t: Tables) -> DataFrame:
     script = t.raw("pages").select("page_id", F.col("html").contains("<script").alias("had_script"))
     left = F.coalesce(F.col("markdown").contains("track(0)"), F.lit(False))
     return made.join(script, "page_id").select("page_id", (F.coalesce("title", F.lit("")) != "").alias("has_title"), "had_script", left.alias("script_left"))
+
+
+@query(
+    """WITH RECURSIVE n AS (SELECT DISTINCT p_brand AS s FROM part),
+h AS (SELECT s, 0 AS i, 2166136261::BIGINT AS h FROM n UNION ALL SELECT s, i + 1, ((xor(h, ascii(s[i + 1])::BIGINT)::HUGEINT * 16777619) & 4294967295)::BIGINT FROM h WHERE i < length(s))
+SELECT p_partkey AS id, h AS hash, CASE lower(p_type) WHEN 'economy' THEN [3900150, 1096065, 9133302, 16096779, 15485081, 440020, 1357990, 6514417, 14753096, 8702998][p_size % 10 + 1] ELSE [3900150, 1096065, 9133302, 16096779, 15485081, 440020, 1357990, 6514417, 14753096, 8702998][p_size % 10 + 1] END AS color
+FROM part JOIN h ON s = p_brand AND i = length(s)"""
+)
+def entity_colors(t: Tables) -> DataFrame:
+    """Hashes of brands, and colours of entities whose kind has none of its own: by their community."""
+    return t.raw("part").select(F.col("p_partkey").alias("id"), tx.fnv1a(F.col("p_brand")).alias("hash"), tx.entity_color(F.col("p_type"), F.col("p_size")).cast("int").alias("color"))
+
+
+def _measured(texts: list[str]) -> np.ndarray:
+    """Bytes, words and lines of each text: a model small enough to say in SQL."""
+    return np.array([[len(x.encode()), len(x.split(" ")), x.count("\n") + 1] for x in texts], dtype=float)
+
+
+@query(
+    """WITH d AS (SELECT 'doc/' || doc_id || '.md' AS path, 'x' || regexp_replace(text, '[^a-z ]', '', 'g') AS text, doc_id FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL),
+a AS (SELECT path, CASE WHEN doc_id % 3 = 0 THEN left(text, 900) || ' added to it' ELSE left(text, 900) END AS text FROM d WHERE doc_id % 5 <> 0)
+SELECT path, strlen(text)::DOUBLE AS size, len(string_split(text, ' '))::DOUBLE AS words, 'second' AS model FROM (SELECT path, rtrim(text, ' ') AS text FROM a) WHERE strlen(text) >= 64"""
+)
+def corpus_synced(t: Tables) -> DataFrame:
+    """A corpus indexed, brought up to changed, new and deleted files, and embedded anew by another model: its vectors."""
+    clean = F.concat(F.lit("x"), F.regexp_replace("text", "[^a-z ]", ""))
+    docs = t.raw("documents").filter("doc_id % 2 = 0 and text is not null").select("doc_id", F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.left(clean, F.lit(900)).alias("text"))
+    first = docs.filter("doc_id % 7 != 0").select("path", "text")
+    after = docs.filter("doc_id % 5 != 0").select("path", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" added to it"))).otherwise(F.col("text")).alias("text"))
+    cut(t.spark.range(1))  # sets the shared folder if none is set yet
+    root = f"{t.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/corpora-{uuid.uuid4().hex}"
+    settings = chunk.Settings(strategy="fixed")
+    lifecycle.Corpora(t.spark, root, lifecycle.Embedder("first", 3, _measured), settings).sync("c", first)
+    corpus = lifecycle.Corpora(t.spark, root, lifecycle.Embedder("second", 3, _measured), settings)
+    corpus.sync("c", after, "reembed")
+    v = corpus.tables("c")["vectors"].filter("not is_doc_level")
+    return v.select("path", F.get("embedding", F.lit(0)).alias("size"), F.get("embedding", F.lit(1)).alias("words"), "model")
+
+
+@query(
+    with_views(
+        "chunks queries",
+        f"""+{BM25}, h AS (SELECT query_id, path, bm25.score, lower(coalesce(c.text, '')) AS said FROM bm25 JOIN chunks c USING (path, chunk_index) WHERE rank <= 30),
+q AS (SELECT query_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: strlen(x) >= 3) AS terms FROM queries),
+b AS (SELECT query_id, path, score, len(list_filter(terms, lambda x: contains(said, x) OR contains(lower(path), x))) * 0.005 AS bonus FROM h JOIN q USING (query_id)),
+m AS (SELECT query_id, path, count(*) AS hits, max(score) + 0.002 * least(count(*), 10) + max(bonus) AS score FROM b GROUP BY ALL)
+SELECT query_id, path, hits, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path) AS INTEGER) AS rank FROM m QUALIFY rank <= 10""",
+    )
+)
+def isolated_algorithm(t: Tables) -> DataFrame:
+    """BM25 alone, hits of the same file merged."""
+    corpus, _ = _corpus(t)
+    return rounded(search.isolated("bm25", corpus, t.queries()), "score")
