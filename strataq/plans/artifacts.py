@@ -89,7 +89,7 @@ def pdf_pages(t: Tables) -> DataFrame:
 
 @query(
     """SELECT 'f/' || p_partkey || ['.md', '.html', '.pdf', '.rs', '.txt'][p_partkey % 5 + 1] AS path, ['markdown', 'document', 'document', 'code', 'text'][p_partkey % 5 + 1] AS kind, CASE WHEN p_partkey % 5 = 3 THEN 'rust' WHEN p_partkey % 5 = 1 THEN 'html' END AS language,
-CASE WHEN p_partkey % 5 < 2 THEN p_name END AS title, CASE p_partkey % 5 WHEN 0 THEN '# ' || p_name WHEN 1 THEN p_type WHEN 2 THEN p_name || ' page' || chr(10) || chr(10) || p_type || chr(10) || 'café (two)' ELSE p_type END AS text FROM part WHERE p_partkey % 6 <> 5"""
+CASE WHEN p_partkey % 5 < 2 THEN p_name END AS title, CASE p_partkey % 5 WHEN 0 THEN '# ' || p_name WHEN 1 THEN p_type WHEN 2 THEN '<!-- Page 1 -->' || chr(10) || chr(10) || p_name || ' page' || chr(10) || chr(10) || '<!-- Page 2 -->' || chr(10) || chr(10) || p_type || chr(10) || 'café (two)' ELSE p_type END AS text FROM part WHERE p_partkey % 6 <> 5"""
 )
 def artifact_texts(t: Tables) -> DataFrame:
     """Files of five kinds, each through its extractor; those with a binary ending are left out."""

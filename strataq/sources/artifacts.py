@@ -51,8 +51,7 @@ def docx(rows: DataFrame) -> DataFrame:
 
 @extractor("pdf")
 def portable(rows: DataFrame) -> DataFrame:
-    each = pdf.pdf_files(rows).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n\n").alias("text"))
-    return each.select("path", F.lit(None).cast("string").alias("title"), "text")
+    return pdf.pdf_documents(rows).select("path", "title", F.col("markdown").alias("text"))
 
 
 def extract(rows: DataFrame, doc_rules: list[str] | None = None) -> DataFrame:

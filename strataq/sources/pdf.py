@@ -1,4 +1,4 @@
-"""Text of PDF files: objects, Flate streams, pages in order, text operators and the fonts' maps to Unicode."""
+"""PDF files: objects, Flate streams, pages in order, text operators, the fonts' maps to Unicode, information, links."""
 
 from __future__ import annotations
 
@@ -155,6 +155,58 @@ def pages(content: bytes | None) -> list[str]:
     return out
 
 
+#: Entries of the information dictionary that are kept.
+INFO = ("Title", "Author", "Subject", "Keywords")
+#: A line of ten words at most that begins so is a heading.
+_HEADING = re.compile(r"(?i)(?:[\d.]*\.|section|chapter|abstract|references)(?:\s|$)")
+_LITERAL = rb"\s*(\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>)"
+
+
+def document(content: bytes | None) -> tuple[str | None, dict[str, str], str | None, list[str]]:
+    """Title, information, Markdown and link targets of a file; nothing of what has no pages.
+
+    Pages are marked by comments, headings by two signs. The title is that of the information dictionary, else the
+    first heading. Links are those of annotations with an address, each once.
+    """
+    texts = pages(content)
+    if not texts:
+        return None, {}, None, []
+    found = objects(content)
+    info = b"".join(found.get(int(n), b"") for n in re.findall(rb"/Info\s+(\d+)\s+\d+\s+R", content))
+    meta = {}
+    for name in INFO:
+        m = re.search(rb"/%s%s" % (name.encode(), _LITERAL), info)
+        if m and (said := _shown(m[1], {}).strip()):
+            meta[name.lower()] = said
+    lines, first = [], None
+    for k, text in enumerate(texts, 1):
+        lines += ["", f"<!-- Page {k} -->", ""]
+        for line in filter(None, text.split("\n")):
+            heading = len(line.split()) <= 10 and _HEADING.match(line)
+            first = first or (line if heading else None)
+            lines.append(f"## {line}" if heading else line)
+    links: dict[str, None] = {}
+    for n in _pages(found):
+        annotated = found[n] + b"".join(found.get(r, b"") for r in _refs(found[n], b"Annots"))
+        annotated += b"".join(found.get(r, b"") for r in _refs(annotated, b"A"))
+        for m in re.finditer(rb"/URI" + _LITERAL, annotated):
+            links[_shown(m[1], {}).strip()] = None
+    return meta.get("title") or first, meta, "\n".join(lines).strip(), [x for x in links if x]
+
+
+def pdf_documents(files: DataFrame) -> DataFrame:
+    """path, title, metadata, markdown, links of (path, content); what is no PDF gives nulls."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        link = pa.list_(pa.struct([("target", pa.string()), ("label", pa.string())]))
+        for batch in batches:
+            found = [document(c) for c in batch.column(1).to_pylist()]
+            columns = [pa.array([f[0] for f in found], pa.string()), pa.array([[*f[1].items()] for f in found], pa.map_(pa.string(), pa.string())), pa.array([f[2] for f in found], pa.string()), pa.array([[{"target": t, "label": None} for t in f[3]] for f in found], link)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["path", "title", "metadata", "markdown", "links"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, title string, metadata map<string,string>, markdown string, links array<struct<target:string,label:string>>")
+
+
 def pdf_files(files: DataFrame) -> DataFrame:
     """path, page (from 1), text of (path, content). Scanned pages have empty texts."""
 

@@ -67,6 +67,19 @@ def test_pages_by_the_map_of_a_font():
     assert pdf.pages(made_pdf(b"BT /F1 9 Tf <004100500051> Tj ET", fonts=font)) == ["éab"]
 
 
+def test_information_headings_and_links_of_a_document(spark):
+    links = b"7 0 obj\n<< /Subtype /Link /A << /S /URI /URI (http://a.example/x) >> >>\nendobj\n8 0 obj\n<< /Subtype /Link /A 9 0 R >>\nendobj\n9 0 obj\n<< /URI (http://b.example) >>\nendobj\n20 0 obj\n<< /Title (A \\(real\\) title) /Author (Me) /Subject () >>\nendobj\n"
+    said = made_pdf(b"BT (1. Begin) Tj T* (plain words) Tj T* (Section 2) Tj ET", fonts=links)
+    held = said.replace(b"/Type /Page /Res", b"/Type /Page /Annots [7 0 R 8 0 R 7 0 R] /Res")
+    full = held.replace(b"%%EOF", b"trailer << /Info 20 0 R >>\n%%EOF")
+    rows = spark.createDataFrame([("a", full), ("b", held), ("c", b"no pdf"), ("d", None)], "path string, content binary")
+    a, b, c, d = pdf.pdf_documents(rows).orderBy("path").collect()
+    assert (a["title"], a["metadata"]) == ("A (real) title", {"title": "A (real) title", "author": "Me"})
+    assert a["markdown"] == "<!-- Page 1 -->\n\n## 1. Begin\nplain words\n## Section 2"
+    assert [x["target"] for x in a["links"]] == ["http://a.example/x", "http://b.example"]
+    assert b["title"] == "1. Begin" and b["metadata"] == {} and c["markdown"] is None and d["markdown"] is None
+
+
 def test_no_pages_of_what_is_no_pdf(spark):
     broken = made_pdf(b"BT (x) Tj ET").replace(b"x\x9c", b"zz")
     rows = [("a", b"hello"), ("b", None), ("c", b""), ("d", b"%PDF-1.4 /Encrypt"), ("e", broken)]
