@@ -23,10 +23,17 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BR
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table as it is read, dealt out anew if it comes in fewer parts than there are cores: a file of one row group
-    is read by one task. A table of many files is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A table as it is read, dealt out anew if its files are fewer than the cores and no larger than what the cores
+    read at once: a file of one row group is read by one task. Larger tables are left as they are."""
+    session, names = df.sparkSession, df.inputFiles()
+    cores, jvm = session.sparkContext.defaultParallelism, session._jvm
+    if not 0 < len(names) < cores:
+        return df
+    hadoop = session.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(n) for n in names]
+    size = sum(p.getFileSystem(hadoop).getFileStatus(p).getLen() for p in paths)
+    share = jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(session.conf.get("spark.sql.files.maxPartitionBytes"))
+    return df.repartition(cores) if size < cores * share else df
 
 
 def cut(df: DataFrame) -> DataFrame:
