@@ -8,12 +8,16 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scale import spread
+
 #: A run of anything but the six ASCII white space characters (Java and RE2 syntax).
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; documents, which take long a row, are dealt over all cores if they come in fewer parts."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name == "documents" else table
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
