@@ -25,7 +25,7 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BR
 def spread(df: DataFrame) -> DataFrame:
     """A table as it is read, dealt out anew if its files are fewer than the cores and no larger than what the cores
     read at once: a file of one row group is read by one task. Larger tables are left as they are."""
-    session, names = df.sparkSession, df.inputFiles()
+    session, names = df.sparkSession, df._jdf.inputFiles()  # stays in the JVM: there may be very many
     cores, jvm = session.sparkContext.defaultParallelism, session._jvm
     if not 0 < len(names) < cores:
         return df
