@@ -39,7 +39,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of benchmark items in all documents. Cases: ``decontaminate.contamination``."""
-    return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("text_key")
+    return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("text_key", "n_full")
 
 
 def op6_license(spark: SparkSession, sf_dir: str) -> DataFrame:
