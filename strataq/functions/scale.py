@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if it was measured and has this many rows and bytes (as JSON) at most.
@@ -46,3 +46,14 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="strataq-"))
     return df.checkpoint(eager=True)
+
+
+def placed(df: DataFrame, *order: Column, out: str = "place") -> DataFrame:
+    """``df`` with ``out``: its place from 0 in the order of all rows. Rows are dealt by range and numbered there, and
+    only the counts of the ranges are added up, so no task sees them all."""
+    dealt = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each range
+    starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return dealt.join(F.broadcast(starts), "_range").withColumn(out, F.col("_start") + own).drop("_range", "_start")

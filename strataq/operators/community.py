@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataq.functions.scale import cut
+from strataq.functions.scale import cut, placed
 
 from .graph import degrees, in_degree, nodes_of
 
@@ -79,7 +79,7 @@ def refined(edges: DataFrame, found: DataFrame | None = None) -> DataFrame:
     inside = edges.join(a, "src").join(b, "dst").filter("ca = cb").select("src", "dst")
     parts = connected(inside, own)
     sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
-    numbered = sizes.withColumn("community", F.row_number().over(Window.orderBy(F.desc("n"), "component")) - 1)  # a row for each community
+    numbered = placed(sizes, F.desc("n"), F.asc("component"), out="community")
     return parts.join(numbered, "component").select("node", "community")
 
 
