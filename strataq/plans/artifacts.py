@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataq.functions.scale import cut
-from strataq.operators import catalog
+from strataq.operators import catalog, channels
 from strataq.sources import artifacts, code, languages, pdf
 from strataq.streaming import sync
 
@@ -140,3 +140,39 @@ def _streamed(t: Tables, plan) -> DataFrame:
     done = writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(folder)).trigger(availableNow=True).start()
     done.awaitTermination()
     return t.spark.read.parquet(folder)
+
+
+_HEX = "('0x' || hex[2 * {0} + 1:2 * {0} + 2])::INTEGER / 127.5::DOUBLE - 1"
+
+
+@query(
+    f"""WITH f AS (SELECT o_orderkey % 500 AS id, CAST(o_custkey % 4 AS INTEGER) AS channel, o_orderpriority || o_custkey % 20 AS text, sum((o_orderkey % 7)::DOUBLE) AS weight FROM orders GROUP BY ALL),
+h AS (SELECT channel, text, sha256(channel || chr(0) || text || chr(0) || '0') || sha256(channel || chr(0) || text || chr(0) || '1') AS hex FROM (SELECT DISTINCT channel, text FROM f)),
+v AS (SELECT channel, text, list_transform(range(64), lambda i: {_HEX.format("i")}) AS v FROM h),
+u AS (SELECT channel, text, unnest(range(64)) AS d, unnest(v) / sqrt(list_sum(list_transform(v, lambda x: x * x))) AS x FROM v),
+s AS (SELECT id, channel, d, sum(weight * x) AS x FROM f JOIN u USING (channel, text) WHERE weight > 0 GROUP BY id, channel, d),
+r AS (SELECT c AS channel, k, sha256('channel ' || c || ' row ' || k) AS hex FROM range(4) a(c), range(64) b(k)),
+p AS (SELECT channel, k, list_transform(range(64), lambda d: {_HEX.format("((d * 7 + k * 3) % 32)")}) AS v FROM r),
+q AS (SELECT channel, k, unnest(range(64)) AS d, unnest(v) AS y FROM p),
+b AS (SELECT id, channel, k, sum(x * y) > 0 AS up FROM s JOIN q USING (channel, d) GROUP BY id, channel, k),
+w AS (SELECT id, channel, sum(CASE WHEN up THEN (1::HUGEINT << k::INTEGER) ELSE 0 END) AS w FROM b GROUP BY id, channel)
+SELECT id, {", ".join(f"coalesce(max(CASE WHEN channel = {k} THEN CASE WHEN w >= (1::HUGEINT << 63) THEN w - (1::HUGEINT << 64) ELSE w END END), 0)::BIGINT AS w{k}" for k in range(4))}
+FROM (SELECT DISTINCT id FROM f) LEFT JOIN w USING (id) GROUP BY id"""
+)
+def channel_fingerprints(t: Tables) -> DataFrame:
+    """Fingerprints in four channels of features drawn from all orders."""
+    k, s = F.col("o_orderkey"), F.concat("o_orderpriority", (F.col("o_custkey") % 20).cast("string"))
+    features = t.raw("orders").select((k % 500).alias("id"), (F.col("o_custkey") % 4).cast("int").alias("channel"), s.alias("text"), (k % 7).cast("double").alias("weight"))
+    return channels.project(features)
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 6 = 5),
+f AS (SELECT k, unnest([0, 0, 0, 1, 2, 3]) AS channel, unnest(['run', 'self', '-', 'helper', '-', 'FunctionDef->Return']) AS text FROM p)
+SELECT 'src/' || k || '.py#w' || k || 'Store > run' AS id, CAST(channel AS INTEGER) AS channel, text, CASE text WHEN 'run' THEN 1.0 WHEN 'self' THEN 0.85 WHEN 'helper' THEN round(1 / sqrt(3), 6) ELSE 1.0 END::DOUBLE AS weight FROM f WHERE text <> '-'"""
+)
+def symbol_semantics(t: Tables) -> DataFrame:
+    """What the methods of all Python files among the sources say: names, parameters, calls, and a step of syntax."""
+    found = channels.code_features(code_files(t)).filter(F.col("id").endswith("Store > run"))
+    kept = found.filter((F.col("channel") < 3) | (F.col("text") == "FunctionDef->Return"))
+    return rounded(kept.select("id", "channel", "text", "weight"), "weight")
