@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataq.functions import lean
 from strataq.functions.scale import cut
-from strataq.operators import catalog, channels
-from strataq.sources import artifacts, code, languages, pdf
+from strataq.operators import catalog, channels, community, graph, search
+from strataq.sources import artifacts, code, files, languages, pdf, store
 from strataq.streaming import sync
 
-from .queries import ORACLE_SQL, query, rounded
-from .tables import Tables
+from .queries import ORACLE_SQL, _corpus, query, rounded
+from .tables import Tables, with_views
 
 #: A file of each language around a word W: its text, and the symbols, imports, bases and calls it has.
 SOURCES = {
@@ -176,3 +177,107 @@ def symbol_semantics(t: Tables) -> DataFrame:
     found = channels.code_features(code_files(t)).filter(F.col("id").endswith("Store > run"))
     kept = found.filter((F.col("channel") < 3) | (F.col("text") == "FunctionDef->Return"))
     return rounded(kept.select("id", "channel", "text", "weight"), "weight")
+
+
+@query(
+    """SELECT 'n/' || p_partkey || '.md' AS path, CASE WHEN p_partkey % 4 = 3 THEN 'Head ' || p_name ELSE p_name END AS title, CASE WHEN p_partkey % 4 < 3 THEN 'item' END AS template,
+CASE WHEN p_partkey % 4 < 3 THEN 'a,b,' ELSE '' END || 'inline' AS tags, p_type AS link, '# Head ' || p_name || chr(10) || 'see [[' || p_type || ']] #inline' AS body, CASE WHEN p_partkey % 4 < 3 THEN p_size ELSE -1 END AS size FROM part"""
+)
+def markdown_notes(t: Tables) -> DataFrame:
+    """Notes with and without frontmatter, one of each four with none: title, template, tags, links, body, a field."""
+    k = F.col("p_partkey")
+    front = F.concat(F.lit("---\r\ntitle: "), "p_name", F.lit("\r\ntemplate: item\r\ntags: [a, b]\r\nsize: "), F.col("p_size").cast("string"), F.lit("\r\n---\r\n"))
+    body = F.concat(F.lit("# Head "), "p_name", F.lit("\nsee [["), "p_type", F.lit("]] #inline"))
+    rows = t.raw("part").select(F.concat(F.lit("n/"), k.cast("string"), F.lit(".md")).alias("path"), F.concat(F.when(k % 4 < 3, front).otherwise(""), body).alias("text"))
+    found = files.markdown(rows)
+    size = F.try_variant_get(F.try_parse_json("frontmatter"), "$.size", "int")
+    return found.select("path", "title", "template", F.array_join("tags", ",").alias("tags"), F.get("links", F.lit(0))["target"].alias("link"), "body", F.coalesce(size, F.lit(-1)).alias("size"))
+
+
+@query(
+    """WITH m AS (SELECT 'lib' || n_nationkey AS dir, CASE WHEN n_nationkey % 2 = 0 THEN 'cargo' ELSE 'npm' END AS manager, lower(n_name) AS package, '1.' || n_regionkey || '.0' AS version FROM nation)
+SELECT 'lib' || c_nationkey || '/src/f' || c_custkey || '.rs' AS path, dir, manager, package, version FROM customer JOIN m ON dir = 'lib' || c_nationkey"""
+)
+def packages_of_files(t: Tables) -> DataFrame:
+    """The nearest manifest above each file, of two kinds."""
+    n = t.raw("nation")
+    key, version = F.col("n_nationkey"), F.concat(F.lit("1."), F.col("n_regionkey").cast("string"), F.lit(".0"))
+    folder = F.concat(F.lit("lib"), key.cast("string"))
+    cargo = F.concat(F.lit('[package]\nname = "'), F.lower("n_name"), F.lit('"\nversion = "'), version, F.lit('"\n'))
+    npm = F.concat(F.lit('{"name": "'), F.lower("n_name"), F.lit('", "version": "'), version, F.lit('"}'))
+    found = files.manifests(n.select(F.concat(folder, F.when(key % 2 == 0, "/Cargo.toml").otherwise("/package.json")).alias("path"), F.when(key % 2 == 0, cargo).otherwise(npm).alias("text")))
+    own = t.raw("customer").select(F.concat(F.lit("lib"), F.col("c_nationkey").cast("string"), F.lit("/src/f"), F.col("c_custkey").cast("string"), F.lit(".rs")).alias("path"))
+    return files.enclosing_manifest(own, found)
+
+
+@query(
+    """WITH h AS (SELECT o_custkey AS id, max(o_orderkey) AS seq FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_custkey), n AS (SELECT o_custkey AS id, max(o_orderkey) AS seq FROM orders WHERE o_orderkey % 2 = 1 GROUP BY o_custkey)
+SELECT id, seq AS w0 FROM n UNION ALL SELECT id, seq FROM h WHERE id NOT IN (SELECT id FROM n)"""
+)
+def fingerprint_upserts(t: Tables) -> DataFrame:
+    """Fingerprints of customers from even orders, then the last of the odd ones in their place."""
+    o = t.raw("orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("w0"))
+    held = o.filter("w0 % 2 = 0").groupBy("id").agg(F.max("w0").alias("w0"))
+    return store.upsert_prints(held, o.filter("w0 % 2 = 1").withColumn("seq", F.col("w0")))
+
+
+@query("SELECT 'p' || p_partkey % 100 AS path, p_partkey AS chunk_index FROM part WHERE p_partkey % 100 >= 30 OR p_partkey // 100 % 2 = 0")
+def vector_upserts(t: Tables) -> DataFrame:
+    """All vectors of thirty files replaced by those of even hundreds."""
+    path = F.concat(F.lit("p"), (F.col("p_partkey") % 100).cast("string")).alias("path")
+    rows = t.raw("part").select(path, F.col("p_partkey").alias("chunk_index"))
+    return store.upsert_vectors(rows, rows.filter("cast(substring(path, 2) as int) < 30 and floor(chunk_index / 100) % 2 = 0"))
+
+
+@query("SELECT vec_id FROM embeddings WHERE label % 3 <> 0")
+def stale_vectors(t: Tables) -> DataFrame:
+    rows = t.raw("embeddings").select("vec_id", F.when(F.col("label") % 3 == 0, "now").otherwise("before").alias("model"))
+    return sync.stale(rows, "now").select("vec_id")
+
+
+@query("SELECT p_partkey AS id, p_name AS name, CASE WHEN p_size > 25 THEN p_type ELSE p_name END AS text FROM part")
+def bundle_round_trip(t: Tables) -> DataFrame:
+    """Two tables written as a bundle, checked and read, one with the normalised text of some files in place."""
+    folder = f"{_shared(t)}/bundle-{uuid.uuid4().hex}"
+    p = t.raw("part")
+    path = F.col("p_partkey").cast("string").alias("path")
+    store.export({"files": p.select(path, F.col("p_name").alias("text"), F.col("p_name").alias("name")), "projections": p.filter("p_size > 25").select(path, F.col("p_type").alias("projection_text"))}, folder, "model", 64)
+    read = store.load(t.spark, folder, "model", 64)
+    return store.projected(read["files"], read["projections"]).select(F.col("path").cast("long").alias("id"), "name", "text")
+
+
+@query(
+    """WITH q AS (SELECT n_nationkey AS query_id, n_name AS text FROM nation), h AS (SELECT n_nationkey AS query_id, unnest([1, 2]) AS rank, unnest(['src/a.rs', 'doc/b.md']) AS path, unnest([0.5, 0.25]) AS score FROM nation WHERE n_nationkey % 5 <> 0)
+SELECT query_id, '# Search: "' || text || '" [mode: hybrid, hits: ' || CASE WHEN query_id % 5 = 0 THEN '0]' || chr(10) || chr(10) || 'No matching results found.' || chr(10)
+  ELSE '2]' || chr(10) || chr(10) || '## Code hits (1)' || chr(10) || chr(10) || '1. `src/a.rs` [score: 0.500]' || chr(10) || '-> path src/a.rs, chunk 0' || chr(10) || chr(10) || '## Document hits (1)' || chr(10) || chr(10) || '1. `doc/b.md` [score: 0.250]' || chr(10) || '-> path doc/b.md, chunk 0' || chr(10) || chr(10) END AS lean FROM q"""
+)
+def lean_results(t: Tables) -> DataFrame:
+    n = t.raw("nation").select(F.col("n_nationkey").alias("query_id"), F.col("n_name").alias("text"))
+    hit = lambda rank, path, score, kind: F.struct(F.lit(rank).alias("rank"), F.lit(path).alias("path"), F.lit(score).alias("score"), F.lit(kind).alias("modality"))
+    hits = n.filter("query_id % 5 != 0").select("query_id", F.explode(F.array(hit(2, "doc/b.md", 0.25, "docs"), hit(1, "src/a.rs", 0.5, "code"))).alias("h")).select("query_id", "h.*")
+    return lean.lean_search(hits, n)
+
+
+@query(
+    with_views(
+        "edges",
+        """+n AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), c AS (SELECT node, regexp_extract(node, '^([a-z]+)', 1) AS community FROM n),
+i AS (SELECT dst AS node, count(*) AS in_degree FROM edges GROUP BY dst), s AS (SELECT community, count(*) AS n FROM c GROUP BY community),
+r AS (SELECT community, node, coalesce(in_degree, 0) AS in_degree, row_number() OVER (PARTITION BY community ORDER BY coalesce(in_degree, 0) DESC, node) AS k FROM c LEFT JOIN i USING (node))
+SELECT community, n, node, in_degree FROM r JOIN s USING (community) WHERE k <= 5""",
+    )
+)
+def architecture_view(t: Tables) -> DataFrame:
+    """The kinds of nodes as communities, each with the five that most edges point to."""
+    e = t.edges()
+    found = community.architecture(e, graph.nodes_of(e).withColumn("community", F.regexp_extract("node", "^([a-z]+)", 1)))
+    return found.select("community", "n", "node", "in_degree")
+
+
+@query(ORACLE_SQL["fast_search"])
+def explained_fast(t: Tables) -> DataFrame:
+    """The fast search by its parts: what the signals add up to is its ranking."""
+    corpus, _ = _corpus(t)
+    found = search.explain_fast(corpus, t.queries())
+    total = F.col("bm25_part") + F.col("binary_part") + F.col("ppr_part")
+    return rounded(found.select("query_id", "path", total.alias("score"), "rank"), "score")
