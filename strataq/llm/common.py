@@ -58,8 +58,9 @@ def join_spread(rows: DataFrame, table: DataFrame, key: str, copies: str) -> Dat
     """
     limit = (table.agg(F.sum(copies)).first()[0] or 0) // SPREAD  # one number
     hot = table.filter(F.col(copies) > limit)
-    frequent = rows.join(F.broadcast(hot), key)
-    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.filter(F.col(copies) <= limit), key)
+    marked = rows.join(F.broadcast(hot), key, "left")  # one broadcast for both branches
+    frequent = marked.filter(F.col(copies).isNotNull())
+    others = marked.filter(F.col(copies).isNull()).select(*rows.columns).join(table.filter(F.col(copies) <= limit), key)
     return frequent.unionByName(others)
 
 
