@@ -1,4 +1,5 @@
-"""Texts whose sets of word shingles are alike: candidates by MinHash, then the exact Jaccard coefficient.
+"""Texts whose sets of word shingles are alike: the exact Jaccard coefficient of given pairs (``alike``), and by
+MinHash those alike that SimHash does not link (``links``).
 
 A text has BANDS keys of ROWS minima each. Two texts of Jaccard J share a key with probability
 1 - (1 - J^ROWS)^BANDS: at J = 0.8 all but three pairs in a million do, above it fewer are missed. What shares a
@@ -63,23 +64,7 @@ def text_key(text: Column) -> Column:
     return F.when(text.rlike(WORD), F.xxhash64(text)).otherwise(F.lit(NO_WORDS).cast("long"))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the text), n (different shingles) and bands of each row of ``docs``; nothing is shuffled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, bands = [], []
-            for text in batch.column(2).cast(pa.binary()):
-                found = shingles(text.as_py())
-                sizes.append(len(found))
-                bands.append(band_keys(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "n", "bands"])
-
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), text_key(text).alias("key"), text.alias("text")).mapInArrow(run, "doc_id long, key long, n long, bands array<long>")
-
-
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """key, shingles of the texts whose keys are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,24 +107,34 @@ def _forest(table: pa.Table) -> pa.Table:
     return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
 
 
-def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
-    """Pairs (a, b) of keys of different texts that are alike, enough to join all that are linked.
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) of keys whose whole sets are alike."""
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("t")), "b")
+    return both.filter((ALIKE + OF) * F.size(F.array_intersect("s", "t")) >= ALIKE * (F.size("s") + F.size("t"))).select("a", "b")
 
-    Of buckets that hold the same texts one is looked at. In small ones each pair is tested, once; large ones
-    are cut into blocks by hash, and each two blocks meet in a group of bounded size that yields a forest.
-    """
+
+def buckets(prints: DataFrame) -> DataFrame:
+    """key, n, band, m, total of texts that share a band. Of buckets that hold the same texts one is looked at."""
     classes = prints.filter(F.col("key") != NO_WORDS).groupBy("key", "n").agg(F.first("bands").alias("bands"))
     keyed = settle(classes.select("key", "n", F.explode("bands").alias("band")))
-    buckets = keyed.groupBy("band").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("key")).alias("mixed")).filter("m > 1")
-    buckets = buckets.groupBy("m", "total", "mixed").agg(F.min("band").alias("band")).drop("mixed")
-    full = settle(keyed.join(buckets, "band"))
-    sets = settle(_sets(docs, settle(full.select("key").distinct())))
-    small = full.filter(F.col("m") <= SMALL)
+    shared = keyed.groupBy("band").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("key")).alias("mixed")).filter("m > 1")
+    shared = shared.groupBy("m", "total", "mixed").agg(F.min("band").alias("band")).drop("mixed")
+    return settle(keyed.join(shared, "band"))
+
+
+def links(full: DataFrame, sets: DataFrame, near: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys of different texts that are alike, enough to join with ``near`` all that are linked.
+
+    ``full``: ``buckets``; ``near``: pairs that are joined already. In small buckets each pair is tested, once, unless
+    both are joined to one text; large ones are cut into blocks by hash, and each two blocks meet in a group of
+    bounded size that yields a forest.
+    """
+    both = near.select("a", "b").union(near.select("b", "a"))
+    hung = both.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
+    small = full.filter(F.col("m") <= SMALL).join(hung, "key", "left").withColumn("root", F.coalesce("root", "key"))
     x, y = small.alias("x"), small.alias("y")
-    may = (F.least("x.n", "y.n") * OF >= F.greatest("x.n", "y.n") * ALIKE) & (F.col("x.key") < F.col("y.key"))
+    may = (F.least("x.n", "y.n") * OF >= F.greatest("x.n", "y.n") * ALIKE) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
     pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & may).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("t")), "b")
-    tested = both.filter((ALIKE + OF) * F.size(F.array_intersect("s", "t")) >= ALIKE * (F.size("s") + F.size("t"))).select("a", "b")
     blocks = F.ceil(F.col("total") / BLOCK).cast("long")
     large = (
         full.filter(F.col("m") > SMALL)
@@ -148,4 +143,4 @@ def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
         .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key")
     )
     met = large.join(sets, "key").groupBy("band", "i", "j").applyInArrow(_forest, "a long, b long")
-    return tested.union(met).distinct()
+    return alike(pairs, sets).union(met).distinct()

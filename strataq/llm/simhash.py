@@ -30,6 +30,8 @@ ONCE = SEGMENT_BITS * BUDGETS.count(1)  # bits that follow and hold one differen
 HALF = ONCE // 2
 #: A bucket with more fingerprints than SMALL is compared in blocks of BLOCK, each by each.
 SMALL, BLOCK = 32, 2048
+#: Up to FEW edges are joined in one task, in place of some dozens of stages.
+FEW = 100_000
 STEP = 1 << 16
 
 
@@ -158,6 +160,29 @@ def components(edges: DataFrame) -> DataFrame:
     return state.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
 
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) as ``components`` has them, of all edges (a, b) of the batches."""
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while root[v] != v:
+            root[v] = v = root[root[v]]
+        return v
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if a is not None and b is not None and a != b:
+                a, b = sorted((find(root.setdefault(a, a)), find(root.setdefault(b, b))))
+                root[b] = a
+    yield pa.RecordBatch.from_arrays([pa.array(list(root), pa.int64()), pa.array([find(v) for v in root], pa.int64())], ["node", "root"])
+
+
+def _grouped(edges: DataFrame) -> DataFrame:
+    """``components`` of ``edges``; FEW of them, as counted, are joined in one task."""
+    edges = settle(edges)
+    return components(edges) if edges.count() > FEW else edges.coalesce(1).mapInArrow(_roots, "node long, root long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, fingerprint (16 hex digits), component_id, n_links.
 
@@ -190,15 +215,61 @@ def _one_of_each(docs: DataFrame, found: DataFrame, key: Column) -> DataFrame:
     return renamed(one.union(own.filter(place["doc_id"].isNull())), docs)
 
 
+def signatures(docs: DataFrame) -> DataFrame:
+    """doc_id, key (of the text), fp, and MinHash's n (different shingles) and bands of each row of ``docs``; nothing
+    is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, sizes, bands = np.empty(len(batch), dtype=np.uint64), [], []
+            for k, text in enumerate(batch.column(2).cast(pa.binary())):
+                prints[k] = fingerprint(text.as_py())
+                found = minhash.shingles(text.as_py())
+                sizes.append(len(found))
+                bands.append(minhash.band_keys(found))
+            columns = [batch.column(0), batch.column(1), pa.array(prints.view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "fp", "n", "bands"])
+
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long"), minhash.text_key(text).alias("key"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key long, fp long, n long, bands array<long>")
+
+
+def candidates(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys of texts whose fingerprints are linked (``links``): of each fingerprint one text stands for
+    it in links to others, and is paired with all that share it."""
+    texts = settle(prints.filter(F.col("key") != minhash.NO_WORDS).select("fp", "key").distinct())
+    classes = settle(texts.groupBy("fp").agg(F.min("key").alias("first_key"), F.count("*").alias("copies")))
+    own = join_spread(texts, classes, "fp", "copies").select(F.col("first_key").alias("a"), F.col("key").alias("b")).filter("a != b")
+    first = classes.select("fp", "first_key")
+    left, right = first.toDF("a", "_a"), first.toDF("b", "_b")
+    return own.union(links(classes.select("fp")).join(left, "a").join(right, "b").select("_a", "_b"))
+
+
+def alike(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys of texts that are alike (``minhash``), enough to join all that are linked.
+
+    First those that SimHash links, as in ``near_duplicates``, held against their whole sets. A Jaccard coefficient of
+    0.8 makes up to some 20 of 64 bits differ, and no such radius leaves equal bits to look up by: what is alike
+    among the rest is found by MinHash, so no link depends on the radius.
+    """
+    close = settle(candidates(prints))
+    full = minhash.buckets(prints)
+    wanted = full.select("key").union(close.select("a")).union(close.select("b")).distinct()
+    sets = settle(minhash.sets(docs, settle(wanted)))
+    near = settle(minhash.alike(close, sets))
+    return near.union(minhash.links(full, sets, near))
+
+
 def keep_alike(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of texts joined over pairs that share four fifths of their five-word
-    shingles (``minhash``): of the rows with the group's least doc_id, that of the least text key.
+    shingles (``alike``): of the rows with the group's least doc_id, that of the least text key.
 
     Texts without words form one group. Rows that share a doc_id stay apart if their texts are of different
     groups, so that no group goes with another's. Rows without doc_id can't stand for a group; all of them stay.
     """
-    prints = settle(minhash.signatures(docs))
-    member = components(minhash.links(docs, prints)).withColumnRenamed("node", "key")
+    prints = settle(signatures(docs))
+    member = _grouped(alike(docs, prints)).withColumnRenamed("node", "key")
     first = prints.filter("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("first_id")).join(member, "key", "left")
     found = first.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min(F.struct("first_id", "key")).alias("kept")).select("kept.*")
     return _one_of_each(docs, found, minhash.text_key(F.col(f"_c{docs.columns.index('text')}").cast("string")))

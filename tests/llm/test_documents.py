@@ -172,6 +172,41 @@ def test_keep_alike_leaves_a_row_of_each_group(spark):
     assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_alike(docs).collect()) == [(5, x), (5, y), (8, "")]
 
 
+def test_roots_are_those_of_components(spark):
+    draw = np.random.default_rng(4)
+    pairs = [tuple(map(int, p)) for p in draw.integers(-500, 500, (600, 2))] + [(7, 7), (None, 3)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(3)
+    assert sorted(map(tuple, simhash._grouped(edges).collect())) == sorted(map(tuple, simhash.components(edges).collect()))
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_keep_alike_goes_by_simhash(spark, monkeypatch, few):
+    """Without the completion by MinHash, what fingerprints link and whole sets confirm is joined, and no more."""
+    monkeypatch.setattr(simhash, "FEW", few, raising=False)
+    draw = np.random.default_rng(8)
+    base = [f"w{k}" for k in draw.integers(0, 4000, 400)]
+    texts = [" ".join(base)]
+    for at in range(40, 400, 45):  # one word changed: near fingerprints, and five of 396 shingles
+        texts.append(" ".join([*base[:at], f"x{at}", *base[at + 1 :]]))
+    texts += [texts[0].upper(), texts[1].replace(" ", "\n"), " ".join(f"y{k}" for k in draw.integers(0, 4000, 400))]
+    texts += ["a b c " * 300 + "d", "a b c " * 5 + "d"]  # repeats weigh in a fingerprint, not in a set
+    texts += ["p q r " * 300 + "p1 p2 p3 p4 p5 p6", "p q r " * 300 + "q1 q2 q3 q4 q5 q6"]
+    rows = list(enumerate(texts, 1))
+    docs = spark.createDataFrame([(d, t, "en", "s", 1, None, None) for d, t in rows], SCHEMA).repartition(3)
+    prints = [(d, fingerprint(t)) for d, t in rows]
+    near = [(a, b) for a, x in prints for b, y in prints if a < b and (x ^ y).bit_count() <= 3]
+    sets = {d: set(minhash.shingles(t.encode()).tolist()) for d, t in rows}
+    alike = [(a, b) for a, b in near if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    assert 0 < len(alike) < len(near)
+    monkeypatch.setattr(minhash, "links", lambda *_: spark.createDataFrame([], "a long, b long"))
+    root = {d: d for d, _ in rows}
+    for _ in rows:
+        for a, b in alike:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {r["doc_id"] for r in simhash.keep_alike(docs).collect()} == set(root.values())
+    assert len(set(root.values())) < len(rows)
+
+
 def test_mix_matches_sql_and_targets(spark, docs, tmp_path):
     docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     con = duckdb.connect()
