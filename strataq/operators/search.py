@@ -288,16 +288,31 @@ def snippets(results: DataFrame, chunks: DataFrame, top: int = 3, lines: int = 2
 
 
 def symbol_at(results: DataFrame, symbols: DataFrame) -> DataFrame:
-    """The first symbol that overlaps a result's lines, else the first of its file.
+    """The first symbol that overlaps a result's lines, else the first of its file; a row for each (query_id, rank).
 
-    results: path, start_line, end_line, ..; symbols: path, name, start_line, end_line.
+    results: query_id, rank, path, start_line, end_line, ..; symbols: path, name, start_line, end_line. First is by start,
+    then name. Of a file's symbols in that order only those count that end after all before them: their starts and ends
+    both rise, so the first that ends at or after a result's start is the only one to look at. No result meets more than
+    one symbol.
     """
-    r = results.withColumn("_id", F.struct("query_id", "rank"))
     s = symbols.select("path", F.col("name").alias("symbol"), F.col("start_line").alias("s_start"), F.col("end_line").alias("s_end"))
-    met = r.join(s, "path", "left")
-    outside = (~((F.col("s_start") <= F.col("end_line")) & (F.col("s_end") >= F.col("start_line")))).cast("int")
-    order = Window.partitionBy("_id").orderBy(outside, "s_start", "symbol")
-    return met.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_id", "s_start", "s_end")
+    least = F.min(F.struct(F.col("symbol").isNull(), "symbol"))["symbol"].alias("symbol")
+    spans = s.groupBy("path", "s_start", "s_end").agg(least)
+    firsts = spans.groupBy("path").agg(F.min(F.struct(F.col("s_start").isNull(), "s_start", F.col("symbol").isNull(), "symbol"))["symbol"].alias("first"))
+    before = Window.partitionBy("path").orderBy("s_start", F.asc_nulls_last("symbol"), F.desc("s_end")).rowsBetween(Window.unboundedPreceding, -1)
+    known = spans.filter("s_start is not null and s_end is not null").withColumn("_reach", F.max("s_end").over(before))
+    rising = known.filter("_reach is null or s_end > _reach").select("path", F.col("s_end").alias("_at"), F.lit(0).alias("_asks"), F.struct("s_start", "symbol").alias("_symbol"))
+    lines = results.select("path", "start_line", "end_line").distinct()
+    asked = lines.select("path", F.col("start_line").alias("_at"), F.lit(1).alias("_asks"), "end_line").filter("_at is not null and end_line is not null")
+    # from the last line to the first, symbols before results: the last symbol seen is the first that ends at or after one
+    seen = Window.partitionBy("path").orderBy(F.desc("_at"), "_asks").rowsBetween(Window.unboundedPreceding, 0)
+    both = rising.unionByName(asked, allowMissingColumns=True).withColumn("_symbol", F.last("_symbol", ignorenulls=True).over(seen))
+    inside = both.filter((F.col("_asks") == 1) & (F.col("_symbol.s_start") <= F.col("end_line")))
+    inside = inside.select("path", F.col("_at").alias("start_line"), "end_line", F.col("_symbol.s_start").alias("_start"), F.col("_symbol.symbol").alias("_inside"), F.lit(0).alias("_outside"))
+    met = results.join(inside, ["path", "start_line", "end_line"], "left").join(firsts, "path", "left")
+    found = met.withColumn("symbol", F.when(F.col("_outside").isNull(), F.col("first")).otherwise(F.col("_inside")))
+    order = Window.partitionBy("query_id", "rank").orderBy(F.asc_nulls_last("_outside"), F.asc_nulls_last("_start"), F.asc_nulls_last("symbol"))
+    return found.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(*results.columns, "symbol")
 
 
 #: A ranking algorithm: the corpus, queries (query_id, text, ..) and how many results, to query_id, rank, path, score.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataq.operators import catalog
+from strataq.operators import catalog, search
 
 
 def _most_rows(df: DataFrame, kind: str = "Join") -> int:
@@ -42,3 +42,20 @@ def test_a_moniker_finds_its_own_symbol(spark):
     s = spark.createDataFrame([("a", "x", "A > x", "pkg x"), ("b", "x", "A > x", "pkg y"), ("c", "x", "B > x", None)], "path string, name string, scope_path string, moniker string")
     asked = spark.createDataFrame([(1, "pkg x"), (2, "A > x"), (3, None)], "request_id long, scope string")
     assert sorted((r["request_id"], r["path"], r["tier"]) for r in catalog.resolve_symbols(s, asked).collect()) == [(1, "a", 1), (2, "a", 1), (2, "b", 1)]
+
+
+def test_symbol_at_meets_one_symbol(spark):
+    results = spark.range(300).select((F.col("id") % 7).alias("query_id"), F.col("id").alias("rank"), F.lit("f").alias("path"), (F.col("id") % 90).alias("start_line"), (F.col("id") % 90 + 5).alias("end_line"))
+    symbols = spark.range(300).select(F.lit("f").alias("path"), F.concat(F.lit("s"), "id").alias("name"), (F.col("id") * 7 % 50).alias("start_line"), (F.col("id") * 7 % 50 + F.col("id") % 13).alias("end_line"))
+    found = search.symbol_at(results, symbols)
+    assert _most_rows(found) <= 300  # 90,000 when each result met each symbol of its file
+    every = [tuple(r) for r in symbols.select("start_line", "name", "end_line").collect()]
+    for r in found.collect():
+        best = min(every, key=lambda s: (not (s[0] <= r["end_line"] and s[2] >= r["start_line"]), s[0], s[1]))
+        assert r["symbol"] == best[1]
+
+
+def test_symbol_at_without_lines(spark):
+    results = spark.createDataFrame([(1, 1, "f", None, None), (1, 2, "g", 1, 2), (1, 3, "f", 8, 9)], "query_id int, rank int, path string, start_line int, end_line int")
+    symbols = spark.createDataFrame([("f", "b", None, None), ("f", "a", 3, 4)], "path string, name string, start_line int, end_line int")
+    assert {r["rank"]: r["symbol"] for r in search.symbol_at(results, symbols).collect()} == {1: "a", 2: None, 3: "a"}
