@@ -38,6 +38,14 @@ def test_snippet_states_of_many_equal_names(spark):
     assert sorted(states.collect()) == sorted(same.collect())
 
 
+def test_symbols_of_many_equal_requests(spark):
+    symbols, asked = _catalog(spark, 400)
+    found = catalog.resolved_counts(symbols, asked, "id")
+    assert _most_rows(found) <= 1000
+    rows = {r["request_id"]: (r["tier"], r["n"], r["first"]) for r in found.collect()}
+    assert rows[0] == (1, 200, 0) and rows[1] == (3, 400, 0) and len(rows) == 400
+
+
 def test_a_moniker_finds_its_own_symbol(spark):
     s = spark.createDataFrame([("a", "x", "A > x", "pkg x"), ("b", "x", "A > x", "pkg y"), ("c", "x", "B > x", None)], "path string, name string, scope_path string, moniker string")
     asked = spark.createDataFrame([(1, "pkg x"), (2, "A > x"), (3, None)], "request_id long, scope string")
