@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from strataq.functions.batches import slices
-from strataq.operators import chunk
+from strataq.operators import chunk, vectors
 
 
 @pytest.fixture
@@ -37,3 +40,17 @@ def _bounded(run) -> None:
 def test_fixed_chunks_of_a_large_batch(spark, mapped):
     chunk.chunk(spark.createDataFrame([("a", "b")], "path string, text string"), chunk.Settings(strategy="fixed"))
     _bounded(mapped[-1])
+
+
+def test_dense_scores_of_a_large_batch(spark, mapped):
+    rng = np.random.default_rng(1)
+    asked = spark.createDataFrame([(k, rng.normal(size=8).tolist()) for k in range(1000)], "query_id long, embedding array<double>")
+    rows = spark.createDataFrame([("a", 0, True, "docs", [1.0] * 8)], "path string, chunk_index int, is_doc_level boolean, modality string, embedding array<double>")
+    vectors.vector_topk(rows, asked)
+    own = rng.normal(size=(4000, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{k:04}" for k in range(4000)]), pa.array([0] * 4000, pa.int32()), pa.array(own.tolist(), pa.list_(pa.float64()))], ["path", "chunk_index", "embedding"])
+    tracemalloc.start()
+    made = pa.Table.from_batches(list(mapped[-1](iter([batch]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made.num_rows == 10_000 and peak < 48 << 20  # 4 million scores, several tables of them, before
