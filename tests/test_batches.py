@@ -42,6 +42,11 @@ def test_fixed_chunks_of_a_large_batch(spark, mapped):
     _bounded(mapped[-1])
 
 
+def test_line_groups_of_a_large_batch(spark, mapped):
+    chunk.chunk(spark.createDataFrame([("a", "b")], "path string, text string"), chunk.Settings(strategy="semantic"))
+    _bounded(mapped[-1])
+
+
 def test_dense_scores_of_a_large_batch(spark, mapped):
     rng = np.random.default_rng(1)
     asked = spark.createDataFrame([(k, rng.normal(size=8).tolist()) for k in range(1000)], "query_id long, embedding array<double>")
