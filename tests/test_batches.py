@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from strataq.functions.batches import slices
-from strataq.operators import chunk, vectors
+from strataq.operators import chunk, lifecycle, vectors
 
 
 @pytest.fixture
@@ -47,6 +47,15 @@ def test_line_groups_of_a_large_batch(spark, mapped):
     _bounded(mapped[-1])
 
 
+def test_embedding_of_a_large_batch(spark, mapped):
+    seen = []
+    model = lifecycle.Embedder("m", 1, lambda texts: seen.append(sum(map(len, texts))) or np.zeros((len(texts), 1)))
+    lifecycle.embed(spark.createDataFrame([("a", 0, "b")], "path string, chunk_index int, text string"), model)
+    t = _texts()
+    done = list(mapped[-1](iter([pa.RecordBatch.from_arrays([t.column(0), pa.array([0] * 1000, pa.int32()), t.column(1)], ["path", "chunk_index", "text"])])))
+    assert sum(b.num_rows for b in done) == 1000 and max(seen) < 4 << 20
+
+
 def test_dense_scores_of_a_large_batch(spark, mapped):
     rng = np.random.default_rng(1)
     asked = spark.createDataFrame([(k, rng.normal(size=8).tolist()) for k in range(1000)], "query_id long, embedding array<double>")
