@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataq.functions import lean
-from strataq.functions.scale import cut
+from strataq.functions.scale import cut, spread
 from strataq.operators import catalog, channels, community, graph, search
 from strataq.sources import artifacts, code, files, languages, pdf, store
 from strataq.streaming import sync
@@ -188,7 +188,7 @@ def markdown_notes(t: Tables) -> DataFrame:
     k = F.col("p_partkey")
     front = F.concat(F.lit("---\r\ntitle: "), "p_name", F.lit("\r\ntemplate: item\r\ntags: [a, b]\r\nsize: "), F.col("p_size").cast("string"), F.lit("\r\n---\r\n"))
     body = F.concat(F.lit("# Head "), "p_name", F.lit("\nsee [["), "p_type", F.lit("]] #inline"))
-    rows = t.raw("part").select(F.concat(F.lit("n/"), k.cast("string"), F.lit(".md")).alias("path"), F.concat(F.when(k % 4 < 3, front).otherwise(""), body).alias("text"))
+    rows = spread(t.raw("part")).select(F.concat(F.lit("n/"), k.cast("string"), F.lit(".md")).alias("path"), F.concat(F.when(k % 4 < 3, front).otherwise(""), body).alias("text"))
     found = files.markdown(rows)
     size = F.try_variant_get(F.try_parse_json("frontmatter"), "$.size", "int")
     return found.select("path", "title", "template", F.array_join("tags", ",").alias("tags"), F.get("links", F.lit(0))["target"].alias("link"), "body", F.coalesce(size, F.lit(-1)).alias("size"))

@@ -10,6 +10,7 @@ import pytest
 
 from strataq.functions.batches import slices
 from strataq.operators import chunk, lifecycle, vectors
+from strataq.sources import files
 
 
 @pytest.fixture
@@ -68,3 +69,12 @@ def test_dense_scores_of_a_large_batch(spark, mapped):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert made.num_rows == 10_000 and peak < 48 << 20  # 4 million scores, several tables of them, before
+
+
+def test_frontmatter_is_read_by_the_fast_loader(spark, mapped, monkeypatch):
+    files.markdown(spark.createDataFrame([("a", "b")], "path string, text string"))
+    monkeypatch.setattr(files.yaml, "safe_load", lambda raw: (_ for _ in ()).throw(files.yaml.YAMLError()))  # for what is broken only
+    raw = ["a: [1, x]\nb: 2024-01-02", "a: [", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(["p", "q", "r"]), pa.array(["", "", ""]), pa.array(raw)], ["path", "text", "front"])
+    done = list(mapped[-1](iter([batch])))
+    assert [f for b in done for f in b.column("frontmatter").to_pylist()] == ['{"a": [1, "x"], "b": "2024-01-02"}', None, None]
