@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataq.functions.scale import cut, placed
+from strataq.functions.scale import cut, placed, wide
 
 from .graph import degrees, in_degree, nodes_of
 
@@ -16,7 +16,7 @@ PASSES = 100
 def undirected(edges: DataFrame) -> DataFrame:
     """a, b, w with a < b: weights of both directions and all types summed; loops are left out."""
     pair = edges.filter("src != dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.coalesce("weight", F.lit(1.0)).alias("w"))
-    return pair.groupBy("a", "b").agg(F.sum("w").alias("w"))
+    return wide(pair, "a", "b").groupBy("a", "b").agg(F.sum("w").alias("w"))
 
 
 def communities(edges: DataFrame, passes: int = PASSES) -> DataFrame:
@@ -85,12 +85,14 @@ def refined(edges: DataFrame, found: DataFrame | None = None) -> DataFrame:
 
 def modularity(edges: DataFrame, found: DataFrame) -> DataFrame:
     """One row: the sum over communities of inside / 2m - (total / 2m)^2."""
-    pairs = undirected(edges)
-    a = pairs.join(found.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a")
-    both = a.join(found.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b")
-    m = pairs.agg(F.sum("w").alias("m"))
-    inside = both.filter("ca = cb").groupBy(F.col("ca").alias("community")).agg((2 * F.sum("w")).alias("inside"))
-    ends = both.select(F.col("ca").alias("community"), "w").union(both.select("cb", "w")).groupBy("community").agg(F.sum("w").alias("total"))
+    mine = lambda node, c, known: found.select(F.col("node").alias(node), F.col("community").alias(c), F.lit(True).alias(known))
+    a = wide(undirected(edges), "a").join(mine("a", "ca", "ka"), "a", "left")
+    both = wide(a, "b").join(mine("b", "cb", "kb"), "b", "left")
+    sums = cut(both.groupBy("ca", "cb", (F.col("ka") & F.col("kb")).alias("known")).agg(F.sum("w").alias("w")))  # the edges are read once
+    m = sums.agg(F.sum("w").alias("m"))
+    kept = sums.filter("known")
+    inside = kept.filter("ca = cb").groupBy(F.col("ca").alias("community")).agg((2 * F.sum("w")).alias("inside"))
+    ends = kept.select(F.col("ca").alias("community"), "w").union(kept.select("cb", "w")).groupBy("community").agg(F.sum("w").alias("total"))
     joined = ends.join(inside, "community", "left").crossJoin(F.broadcast(m))  # m: one row
     part = F.coalesce("inside", F.lit(0.0)) / (2 * F.col("m")) - F.pow(F.col("total") / (2 * F.col("m")), 2)
     return joined.agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("modularity"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataq.operators import catalog, search
+from strataq.functions import scale
+from strataq.operators import catalog, community, graph, search
+from strataq.plans.tables import Tables
 from strataq.sources import files
 
 
@@ -82,3 +84,21 @@ def test_calls_of_a_common_name(spark):
 def test_a_title_keeps_what_no_semicolon_ends():
     name, _, body, _ = files.parse_html("<title>a &amp; b &lt;c&gt; d&amp</title><h1>e&amp;f</h1>")
     assert name == "a & b <c> d&amp" and body == "# e&f"
+
+
+def _dealt(spark, monkeypatch, made) -> tuple[int, int]:
+    """Partitions that a table of edges is grouped in, before and with a share of bytes that is exceeded; the same rows."""
+    plain = made()
+    rows = sorted(map(str, plain.collect()))
+    monkeypatch.setattr(scale, "SHARE_BYTES", 4000)
+    many = made()
+    assert sorted(map(str, many.collect())) == rows
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (plain, many)]
+    return tuple(sum("RepartitionByExpression" in line for line in p.splitlines()) for p in plans)
+
+
+def test_modularity_is_dealt_by_size(spark, monkeypatch):
+    e = lambda: Tables(spark, "/root/testdata/sf0.001").edges()
+    made = lambda: community.modularity(e(), graph.nodes_of(e()).withColumn("community", F.regexp_extract("node", "^([a-z]+)", 1))).select(F.round("modularity", 9))
+    before, after = _dealt(spark, monkeypatch, made)
+    assert before == 0 and after >= 5
