@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataq.functions.scale import broadcast_if_small, cut
+from strataq.functions.scale import broadcast_if_small, cut, wide
 
 CUT_EVERY = 3
 #: Weight of an edge by its type.
@@ -130,9 +130,9 @@ def degrees(edges: DataFrame) -> DataFrame:
 def affordances(edges: DataFrame) -> DataFrame:
     """node, direction, edge_type, n: what can be followed from a node. Documents edges count in both directions
     as one."""
-    both = directed(edges, "both")
     direction = F.when(F.col("edge_type") == "documents", F.lit("both")).otherwise(F.col("direction"))
-    return both.groupBy(F.col("src").alias("node"), direction.alias("direction"), "edge_type").agg(F.count("*").alias("n"))
+    both = directed(edges, "both").select(F.col("src").alias("node"), direction.alias("direction"), "edge_type")
+    return wide(both, "node").groupBy("node", "direction", "edge_type").agg(F.count("*").alias("n"))
 
 
 def affordance_text(edges: DataFrame, most: int = 3) -> DataFrame:

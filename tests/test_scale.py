@@ -102,3 +102,7 @@ def test_modularity_is_dealt_by_size(spark, monkeypatch):
     made = lambda: community.modularity(e(), graph.nodes_of(e()).withColumn("community", F.regexp_extract("node", "^([a-z]+)", 1))).select(F.round("modularity", 9))
     before, after = _dealt(spark, monkeypatch, made)
     assert before == 0 and after >= 5
+
+
+def test_affordances_are_dealt_by_size(spark, monkeypatch):
+    assert _dealt(spark, monkeypatch, lambda: graph.affordances(Tables(spark, "/root/testdata/sf0.001").edges()))[1] == 5
