@@ -113,7 +113,7 @@ def forwardlinks(edges: DataFrame) -> DataFrame:
 
 
 def in_degree(edges: DataFrame) -> DataFrame:
-    return edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("in_degree"))
+    return wide(edges.select(F.col("dst").alias("node")), "node").groupBy("node").agg(F.count("*").alias("in_degree"))
 
 
 def dampener(degree: Column) -> Column:

@@ -106,3 +106,7 @@ def test_modularity_is_dealt_by_size(spark, monkeypatch):
 
 def test_affordances_are_dealt_by_size(spark, monkeypatch):
     assert _dealt(spark, monkeypatch, lambda: graph.affordances(Tables(spark, "/root/testdata/sf0.001").edges()))[1] == 5
+
+
+def test_in_degrees_are_dealt_by_size(spark, monkeypatch):
+    assert _dealt(spark, monkeypatch, lambda: graph.in_degree(Tables(spark, "/root/testdata/sf0.001").edges()))[1] == 3
