@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataq.functions.scale import broadcast_if_small, cut
+from strataq.functions.scale import broadcast_if_small, cut, shares
 from strataq.functions.text import sanitize_query, tokens
 
 from . import topk
@@ -25,6 +25,8 @@ K1, B = 1.2, 0.75
 #: Terms of all queries together, up to which they are sent to the chunks. Up to so many different ones chunks drop
 #: all other words before they leave the JVM; so many are given to the scan of a stored index, which prunes by them.
 ASKED, PUSHED_TERMS, PRUNING_TERMS = 500_000, 20_000, 1000
+#: Bytes of files whose chunks a task scores for all queries.
+CHUNK_SHARE = 1 << 20
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -164,28 +166,34 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, modality: str | Non
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "path", "chunk_index", "score")
 
 
-def build_index(chunks: DataFrame) -> dict[str, DataFrame]:
+def build_index(chunks: DataFrame, stored: bool = True) -> dict[str, DataFrame]:
     """The inverted index as tables: postings (term, field, path, chunk_index, tf, dl), terms (term, field, df),
-    fields (field, n, avgdl). Postings are in ranges of terms, so a reader of Parquet skips what no query asks for."""
+    fields (field, n, avgdl). Postings are in ranges of terms, so a reader of Parquet skips what no query asks for;
+    those of an index that isn't stored stay with their chunks, whose words are shuffled once, not posting by posting."""
     words = fields(chunks).select("*", F.size("words").alias("dl"))
-    each = words.select("path", "chunk_index", "field", "dl", F.explode("words").alias("term"))
+    each = (words if stored else words.repartition(shares(chunks, CHUNK_SHARE), "path", "chunk_index")).select("path", "chunk_index", "field", "dl", F.explode("words").alias("term"))
     held = each.groupBy("term", "field", "path", "chunk_index", "dl").agg(F.count("*").alias("tf"))
     return {
-        "postings": held.repartitionByRange("term", "path", "chunk_index").sortWithinPartitions("term", "path"),
+        "postings": held.repartitionByRange("term", "path", "chunk_index").sortWithinPartitions("term", "path") if stored else held,
         "terms": term_stats(held),
         "fields": words.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")),
     }
 
 
-def bm25_indexed(index: dict[str, DataFrame], queries: DataFrame, k: int = 10) -> DataFrame:
-    """As ``bm25``, from a stored index: only the postings of the queries' terms are read."""
+def bm25_indexed(index: dict[str, DataFrame], queries: DataFrame, k: int = 10, stored: bool = True) -> DataFrame:
+    """As ``bm25``, from a stored index: only the postings of the queries' terms are read; or from one that was built
+    with ``stored`` false."""
     wanted = broadcast_if_small(query_terms(queries))
     held, terms = index["postings"], index["terms"]
     few = [r["term"] for r in wanted.select("term").distinct().limit(PRUNING_TERMS + 1).collect()]
     if len(few) <= PRUNING_TERMS:
         held, terms = held.filter(F.col("term").isin(few)), terms.filter(F.col("term").isin(few))
-    weighted = held.join(terms, ["term", "field"]).join(F.broadcast(index["fields"]), "field")  # fields: two rows
-    weighted = weighted.repartition("path", "chunk_index").join(wanted, "term")
+    else:
+        asked = broadcast_if_small(wanted.select("term").distinct())
+        held, terms = held.join(asked, "term", "left_semi"), terms.join(asked, "term", "left_semi")
+    # few terms are asked for, so postings meet them where they are; those of a stored index then go to their chunk
+    weighted = held.join(broadcast_if_small(cut(terms)), ["term", "field"]).join(F.broadcast(index["fields"]), "field")  # fields: two rows
+    weighted = (weighted.repartition("path", "chunk_index") if stored else weighted).join(wanted, "term")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = weighted.groupBy("query_id", "path", "chunk_index").agg(F.sum(part).alias("score"))

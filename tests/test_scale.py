@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataq.functions import scale
-from strataq.operators import catalog, community, graph, search
+from strataq.operators import catalog, community, graph, lexical, search
 from strataq.plans.tables import Tables
 from strataq.sources import files
 
 
-def _most_rows(df: DataFrame, kind: str = "Join") -> int:
+def _most_rows(df: DataFrame, kind: str = "Join", metric: str = "numOutputRows") -> int:
     """Rows of the largest operator of a kind, after the table was collected."""
     df.collect()
     most, left = 0, [df._jdf.queryExecution().executedPlan()]
@@ -22,8 +22,8 @@ def _most_rows(df: DataFrame, kind: str = "Join") -> int:
             left.append(node.executedPlan())
         elif name.endswith("QueryStageExec"):
             left.append(node.plan())
-        if kind in name and node.metrics().contains("numOutputRows"):
-            most = max(most, node.metrics().get("numOutputRows").get().value())
+        if kind in name and node.metrics().contains(metric):
+            most = max(most, node.metrics().get(metric).get().value())
         left += [node.children().apply(k) for k in range(node.children().size())]
     return most
 
@@ -110,3 +110,18 @@ def test_affordances_are_dealt_by_size(spark, monkeypatch):
 
 def test_in_degrees_are_dealt_by_size(spark, monkeypatch):
     assert _dealt(spark, monkeypatch, lambda: graph.in_degree(Tables(spark, "/root/testdata/sf0.001").edges()))[1] == 3
+
+
+def _passages(spark) -> tuple[DataFrame, DataFrame]:
+    rows = [(f"d{k:03}", k % 3, f"t{k % 5}", "docs", None if k % 7 == 0 else "xyz"[k % 3], f"one w{k % 11} w{k % 4} w{k % 4} two") for k in range(300)]
+    chunks = spark.createDataFrame(rows, "path string, chunk_index int, title string, modality string, corpus string, text string")
+    return chunks, spark.createDataFrame([(1, "w1 w2 t3"), (2, "w3 w7"), (3, "none")], "query_id int, text string")
+
+
+def test_an_index_that_is_not_stored_stays_with_its_chunks(spark):
+    chunks, asked = _passages(spark)
+    found = lexical.bm25_indexed(lexical.build_index(chunks, stored=False), asked, stored=False)
+    moved = _most_rows(found, "Exchange", "shuffleRecordsWritten")
+    assert moved <= 600  # a row for each field of a chunk; 1,800 postings before
+    key = lambda df: sorted((r["query_id"], r["rank"], r["path"], round(r["score"], 9)) for r in df.collect())
+    assert key(found) == key(lexical.bm25(chunks, asked))
