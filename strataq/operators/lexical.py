@@ -74,8 +74,9 @@ def _statistics(chunks: DataFrame, terms: list[str]) -> tuple[dict[str, tuple[in
     return {r["field"]: (r["n"], r["dl"] / r["n"]) for r in rows if r["term"] == ""}, {(r["field"], r["term"]): r["n"] for r in rows if r["term"]}
 
 
-def _by_partition(chunks: DataFrame, asked: DataFrame, k: int | None, modality: str | None) -> DataFrame:
-    """query_id, path, chunk_index, score: of each batch of chunks the ``k`` best for each query (None: all scored).
+def _by_partition(chunks: DataFrame, asked: DataFrame, k: int | None, modality: str | None, group: str | None = None) -> DataFrame:
+    """query_id, path, chunk_index, score: of each batch of chunks the ``k`` best for each query (None: all scored), and
+    with ``group``, a column of chunks that comes with them, for each of its values.
 
     All tokens of a chunk are in its row, so scores are complete where it is read and nothing but results is
     shuffled. ``asked`` (query_id, term, times) is bounded.
@@ -90,7 +91,8 @@ def _by_partition(chunks: DataFrame, asked: DataFrame, k: int | None, modality:
     wanted = np.array([place[t] for t in held.column("term").to_pylist()], dtype=np.int64)
     shared = chunks.sparkSession.sparkContext.broadcast((pa.array(terms, pa.string()), wanted, q_at, held.column("times").to_numpy(), q_of, stats, idf))
     rows = chunks if modality in (None, "both") else chunks.filter(F.col("modality") == modality)
-    columns = ["path", "chunk_index"]
+    own = ["path", "chunk_index", *([group] if group else [])]
+    columns = list(own)
     for name, text in (("title", "title"), ("body", "text")):
         rows = rows.withColumn(f"{name}_tokens", F.array(tokens(F.col(text))))
         rows = rows.withColumn(f"{name}_words", F.expr(f"transform({name}_tokens, t -> struct(size(t) AS dl, {_hits('t', terms)} AS hits))[0]"))
@@ -98,7 +100,7 @@ def _by_partition(chunks: DataFrame, asked: DataFrame, k: int | None, modality:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, term_at, query_at, times, numbers_, stats_, idf_ = shared.value
-        for batch in batches:
+        for batch in topk.parts(batches, group) if group else batches:
             batch = topk.sorted_batch(batch, "path", "chunk_index")
             row, code, part = [], [], []
             for name, (_, avgdl) in stats_.items():
@@ -112,8 +114,8 @@ def _by_partition(chunks: DataFrame, asked: DataFrame, k: int | None, modality:
                 part.append(idf_[name][c] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[r] / avgdl)))
             row, code, part = (np.concatenate(x) if x else np.empty(0) for x in (row, code, part))
             for q0, q1, r0, r1 in topk.blocks(len(numbers_), batch.num_rows):
-                own = (query_at >= q0) & (query_at < q1)
-                order = np.flatnonzero(own)[np.argsort(term_at[own], kind="stable")]
+                mine = (query_at >= q0) & (query_at < q1)
+                order = np.flatnonzero(mine)[np.argsort(term_at[mine], kind="stable")]
                 first = np.searchsorted(term_at[order], np.arange(len(vocabulary) + 1))
                 e = np.flatnonzero((row >= r0) & (row < r1))
                 n = first[code[e] + 1] - first[code[e]]
@@ -123,11 +125,11 @@ def _by_partition(chunks: DataFrame, asked: DataFrame, k: int | None, modality:
                 sums = np.bincount(cell, np.repeat(part[e], n) * times[asks], (q1 - q0) * (r1 - r0)).reshape(q1 - q0, r1 - r0)
                 rounded = np.where(sums > 0, np.round(sums, 9), -np.inf)
                 q, r = topk.best_cells(rounded, k) if k else np.nonzero(sums > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(numbers_[q0 + q]), batch.column("path").take(pa.array(r0 + r)), batch.column("chunk_index").take(pa.array(r0 + r)), pa.array(sums[q, r])], ["q", "path", "chunk_index", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(numbers_[q0 + q]), *[batch.column(c).take(pa.array(r0 + r)) for c in own], pa.array(sums[q, r])], ["q", *own, "score"])
 
     kinds = {n: t for n, t in chunks.dtypes}
-    found = rows.select(*columns).mapInArrow(run, f"q long, path {kinds['path']}, chunk_index {kinds['chunk_index']}, score double")
-    return found.join(F.broadcast(numbers), "q").select("query_id", "path", "chunk_index", "score")  # no more queries than ASKED
+    found = rows.select(*columns).mapInArrow(run, f"q long, {', '.join(f'{c} {kinds[c]}' for c in own)}, score double")
+    return found.join(F.broadcast(numbers), "q").select("query_id", *own, "score")  # no more queries than ASKED
 
 
 def _by_chunk(chunks: DataFrame, asked: DataFrame, modality: str | None) -> DataFrame:
@@ -146,17 +148,19 @@ def _by_chunk(chunks: DataFrame, asked: DataFrame, modality: str | None) -> Data
     return scored.groupBy("query_id", "path", "chunk_index").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, modality: str | None = None, k: int | None = None) -> DataFrame:
+def bm25_scores(chunks: DataFrame, queries: DataFrame, modality: str | None = None, k: int | None = None, group: str | None = None) -> DataFrame:
     """query_id, path, chunk_index, score of every chunk that holds a term of the query; with ``k`` of each batch
-    of chunks only the best so many, which hold the best of all.
+    of chunks only the best so many, which hold the best of all. With ``group``, a column of chunks that is given with
+    the scores, so many of each of its values.
 
     Field statistics are over all chunks, also if ``modality`` restricts the results. A query table with more than
     ASKED terms in all is not sent to the chunks; the chunks' matches are shuffled instead.
     """
     asked = cut(query_terms(queries))
     if asked.count() <= ASKED:
-        return _by_partition(chunks, asked, k, modality)
-    return _by_chunk(chunks, asked, modality)
+        return _by_partition(chunks, asked, k, modality, group)
+    scored = _by_chunk(chunks, asked, modality)
+    return scored.join(chunks.select("path", "chunk_index", group), ["path", "chunk_index"]) if group else scored
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, modality: str | None = None) -> DataFrame:

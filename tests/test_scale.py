@@ -118,6 +118,18 @@ def _passages(spark) -> tuple[DataFrame, DataFrame]:
     return chunks, spark.createDataFrame([(1, "w1 w2 t3"), (2, "w3 w7"), (3, "none")], "query_id int, text string")
 
 
+def test_best_chunks_of_each_corpus(spark):
+    chunks, asked = _passages(spark)
+    key = lambda r: (-round(r["score"], 9), r["path"], r["chunk_index"])
+    every, best = {}, {}
+    for found, into in ((lexical.bm25_scores(chunks, asked).join(chunks.select("path", "corpus"), "path"), every), (lexical.bm25_scores(chunks, asked, k=2, group="corpus"), best)):
+        rows = found.collect()
+        for r in rows:
+            into.setdefault((r["query_id"], r["corpus"]), []).append(key(r))
+    assert len(rows) <= 2 * 2 * 4 * 4  # queries, places, corpora, partitions: all 300 chunks and more before
+    assert {k: sorted(v)[:2] for k, v in every.items()} == {k: sorted(v)[:2] for k, v in best.items()}
+
+
 def test_an_index_that_is_not_stored_stays_with_its_chunks(spark):
     chunks, asked = _passages(spark)
     found = lexical.bm25_indexed(lexical.build_index(chunks, stored=False), asked, stored=False)
